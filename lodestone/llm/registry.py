@@ -1,7 +1,8 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from .decontaminate import op4_decontaminate
 from .ngram_join import op7_ngram_join
 
-QUERIES = {f.__name__: f for f in (op7_ngram_join,)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
