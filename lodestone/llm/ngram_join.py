@@ -14,9 +14,10 @@ posting list is thus either compared or already known to be connected, so the
 components are those of all links.
 
 Nulls: a null text is an empty one; a null id is left out of the join and has
-no component of its own (null). Empty sets link with nothing. Repeated ids
-form one document of the first text by order of its fingerprint. Other columns
-of the input are ignored. Empty tables give empty results.
+no component of its own (null). Empty sets link with nothing. Rows of one id
+are one document, linked with whatever one of its texts is linked with, and
+give a row each. Other columns of the input are ignored. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BUCKET_BITS = 20
 SUFFIX_PARTS = 8
 #: Rounds of heads, and how many times the posting rows the pairs left may number before another round is run.
 ROUNDS, REST = 12, 4
+#: Bits of the sieve of ids that a text is read again for.
+SIEVE_BITS = 24
 
 
 def _sets(block: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -108,6 +111,34 @@ def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataF
     return docs.mapInArrow(run, "id long, n long, fp long, fp2 long, parts long, prefix array<long>")
 
 
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (X.mix(ids.astype(X.U)) >> X.U(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A fixed-size sieve of ids: what it lets through is joined exactly afterwards."""
+
+    def mark(batches):
+        bits = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            bits[_slot(batch.column("id").to_numpy())] = True
+        part = np.packbits(bits).reshape(64, -1)
+        at = np.flatnonzero(part.any(1))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "bits": pa.array([part[i].tobytes() for i in at], pa.binary())})
+
+    def join(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << SIEVE_BITS) // 512, np.uint8)
+        for t in tables:
+            for b in t.column("bits").to_pylist():
+                total |= np.frombuffer(b, np.uint8)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([key[0].as_py()], pa.int32()), "bits": [total.tobytes()]})
+
+    out = np.zeros((64, (1 << SIEVE_BITS) // 512), np.uint8)
+    for r in ids.mapInArrow(mark, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary").collect():
+        out[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
+
+
 def _filters(percent: int):
     """Length, positional and suffix filter on rows with n, at, parts and h_n, h_at, h_parts."""
     need = F.ceil(F.col("n") + F.col("h_n")) * percent
@@ -153,18 +184,26 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = sig.where("id is not null and n > 0")
     folded = keyed.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     folded = tmp.cut(folded, "folded")
-    reps = keyed.join(folded.select("fp", "fp2", F.col("rep").alias("id")), ["fp", "fp2", "id"], "left_semi").dropDuplicates(["id"])
+    reps = keyed.join(folded.select("fp", "fp2", F.col("rep").alias("id")), ["fp", "fp2", "id"], "left_semi")
     post = tmp.cut(reps.select("id", "n", "parts", F.posexplode("prefix").alias("at", "token")), "post")
     often = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     post = tmp.cut(post.join(often.select("token"), "token"), "lists")
     tmp.drop("post")
+    wanted = tmp.cut(post.select("id").distinct(), "wanted")
+    sieve = spark.sparkContext.broadcast(_bitmap(wanted))
+
+    def maybe(batches):
+        bits = sieve.value
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_slot(batch.column("id").to_numpy())]))
 
     def make(batches):
         for block in X.blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([s.tobytes() for s in _sets(block, "text", k)], pa.binary())], ["id", "s"])
 
-    wanted = post.select("id").distinct()
-    sets = tmp.cut(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(make, "id long, s binary"), "sets")
+    some = docs.where("id is not null").mapInArrow(maybe, docs.schema)
+    sets = tmp.cut(some.join(wanted, "id", "left_semi").mapInArrow(make, "id long, s binary"), "sets")
+    tmp.drop("wanted")
 
     links = None
     labels = None
@@ -203,6 +242,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         tmp.drop(f"live-{turn}", f"head-{turn}", f"pairs-{turn}", "lists" if not turn else f"lists-{turn - 1}")
     tmp.drop("sets", "lists")
     freq.unpersist()
+    sieve.unpersist()
 
     # A chain of folded sets: the component of the representative, which is the smallest id of its copies.
     named = folded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))

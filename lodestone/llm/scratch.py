@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,9 @@ class Scratch:
         for name in names:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Let go of the shuffle files of what has been written: Spark drops them once their plans are garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
