@@ -2,6 +2,8 @@
 
 from .decontaminate import op4_decontaminate
 from .ngram_join import op7_ngram_join
+from .packing import op9_best_fit_packing
+from .token_output import op10_token_output
 
 QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_ngram_join)}
 
