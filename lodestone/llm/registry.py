@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from .class_lm import op3_class_lm
 from .decontaminate import op4_decontaminate
 from .ngram_join import op7_ngram_join
 from .packing import op9_best_fit_packing
 from .token_output import op10_token_output
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_class_lm, op4_decontaminate, op7_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
