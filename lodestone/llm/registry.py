@@ -7,6 +7,6 @@ from .packing import op9_best_fit_packing
 from .token_output import op10_token_output
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_class_lm, op4_decontaminate, op7_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_class_lm, op4_decontaminate, op7_ngram_join, op9_best_fit_packing, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {}
