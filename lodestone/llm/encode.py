@@ -22,7 +22,7 @@ from . import text as X
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces kept by a worker; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 
 _SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
 _CLASS = np.zeros(256, np.uint8)
