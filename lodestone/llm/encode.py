@@ -127,6 +127,16 @@ class Encoder:
         self.size += len(flat)
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
+    def places(self, pieces: list[str]) -> list[int]:
+        """Places of a few pieces."""
+        new = [x for x in dict.fromkeys(pieces) if x not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self._clear()
+            new = list(dict.fromkeys(pieces))
+        if new:
+            self._add(new, None)
+        return [self.known[x] for x in pieces]
+
     def pieces(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Place in the tables of each piece of ``data`` that starts at ``at``."""
         if not len(at):

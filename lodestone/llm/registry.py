@@ -8,8 +8,9 @@ from .ngram_join import op7_ngram_join
 from .packing import op9_best_fit_packing
 from .suffix_dedup import op6_suffix_dedup
 from .token_output import op10_token_output
+from .token_counts import op2_token_counts
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_class_lm, op4_decontaminate, op5_html_extract, op6_suffix_dedup, op7_ngram_join, op8_embedding_dedup, op9_best_fit_packing, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_class_lm, op4_decontaminate, op5_html_extract, op6_suffix_dedup, op7_ngram_join, op8_embedding_dedup, op9_best_fit_packing, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {}
