@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document is the set of its distinct k-word shingles. One global order puts
-rare shingles first: by a frequency table over hash buckets that counts every
-document, then by the hash. Any two sets with Jaccard of at least t share a
+rare shingles first: by the frequencies of their words, from a table of fixed size
+over hash buckets that counts every word of every document, then by the hash. Any two sets with Jaccard of at least t share a
 shingle among the first n - ceil(t n) + 1 of either, so only these prefixes
 are joined. Equal sets are folded before the join and unfolded after it.
 
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from . import text as X
 from .components import components
 from .scratch import Scratch
+from .sums import dense_sum
 
-#: Buckets of the frequency table, 4 bytes each: its size is fixed whatever the input.
-BUCKET_BITS = 20
+#: Buckets of the word frequency table, 2 bytes each: its size is fixed whatever the input.
+BUCKET_BITS = 22
 #: Counts of a set by the top bits of its shingles, 8 bits each: the suffix filter's partition.
 SUFFIX_PARTS = 8
 #: Rounds of heads, and how many times the posting rows the pairs left may number before another round is run.
@@ -50,32 +51,26 @@ def _sets(block: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
         yield np.unique(X.shingles(hashes[a:b], k))
 
 
-def _frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Sets by bucket of a shingle they hold, over all documents."""
-    chunk = 1 << min(bits, 14)
+def _ranked(block: pa.RecordBatch, column: str, k: int, rank: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets with how common their shingles are: the sum of their words' log frequencies."""
+    words = X.Words(block.column(column))
+    hashes = words.hashes()
+    common = rank[(hashes >> X.U(64 - bits)).astype(np.int64)].astype(np.int32)
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+        s, at = np.unique(X.shingles(hashes[a:b], k), return_index=True)
+        width = min(k, b - a)
+        total = np.concatenate([[0], np.cumsum(common[a:b])])
+        yield s, total[at + width] - total[at]
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.int64)
-        for block in X.blocks(batches, "text"):
-            found = [s >> X.U(64 - bits) for s in _sets(block, "text", k)]
-            total += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << bits)
-        part = total.reshape(-1, chunk)
-        for i in np.flatnonzero(part.any(1)):
-            at = np.flatnonzero(part[i])
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(i)], pa.int32()), "at": [at.astype(np.int16).tobytes()], "n": [part[i][at].tobytes()]})
-
-    def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(chunk, np.int64)
-        for t in tables:
-            for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True):
-                total[np.frombuffer(at, np.int16)] += np.frombuffer(n, np.int64)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    rows = docs.select("text").mapInArrow(count, "chunk int, at binary, n binary")
-    out = np.zeros(1 << bits, np.int32)
-    for r in rows.groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect():
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["n"], np.int32)
-    return out
+def _frequencies(docs: DataFrame, bits: int) -> np.ndarray:
+    """16 times the logarithm to base 2 of how often words of a hash bucket occur, over all documents."""
+
+    def codes(batch):
+        for block in X.blocks([batch], "text"):
+            yield (X.Words(block.column("text")).hashes() >> X.U(64 - bits)).astype(np.int64)
+
+    return np.round(16 * np.log2(1.0 + dense_sum(docs.select("text"), codes, 1 << bits))).astype(np.int16)
 
 
 def least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -88,10 +83,9 @@ def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataF
         rank = freq.value
         for block in X.blocks(batches, "text"):
             rows = {"id": block.column("id"), "n": [], "fp": [], "fp2": [], "parts": [], "prefix": []}
-            for s in _sets(block, "text", k):
+            for s, f in _ranked(block, "text", k, rank, bits):
                 n = len(s)
                 width = int(n - least(np.int64(n), percent) + 1) if n else 0
-                f = rank[(s >> X.U(64 - bits)).astype(np.int64)]
                 near = np.argpartition(f, width - 1) if 0 < width < n else np.arange(n)
                 if n:
                     edge = f[near[width - 1]]
@@ -178,7 +172,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tmp = Scratch(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    freq = spark.sparkContext.broadcast(_frequencies(docs, k, bits))
+    freq = spark.sparkContext.broadcast(_frequencies(docs, bits))
     sig = tmp.cut(_signatures(docs, freq, k, percent, bits), "sig")
 
     keyed = sig.where("id is not null and n > 0")
