@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import text as X
 
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
-SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
+SAMPLE, SAMPLE_BYTES = 2000, 4 << 20
 
 
 def features(words: X.Words) -> np.ndarray:
@@ -47,6 +47,14 @@ def features(words: X.Words) -> np.ndarray:
     return out
 
 
+def _total(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each word, a feature at a time."""
+    out = np.zeros(f.shape[1])
+    for row in f:
+        out += weights[row]
+    return out
+
+
 @dataclass
 class Field:
     weights: np.ndarray
@@ -55,7 +63,7 @@ class Field:
     trans: np.ndarray  # log potentials, from row to column; O, T
 
     def emissions(self, f: np.ndarray) -> np.ndarray:
-        return np.clip(self.weights[f].sum(0) + self.bias, -30, 30)
+        return np.clip(_total(self.weights, f) + self.bias, -30, 30)
 
     def odds(self, em: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """exp(em), and the odds of T to O in the forward and the backward messages of each word."""
@@ -93,13 +101,13 @@ def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int =
     inner[first[:-1][first[:-1] < len(tags)]] = False
     pair = np.flatnonzero(inner)
     gold = np.bincount(tags[pair - 1] * 2 + tags[pair], minlength=4).reshape(2, 2)
-    used, place = np.unique(f, return_inverse=True)
-    place = place.reshape(f.shape)
+    used = np.unique(f)
+    place = np.searchsorted(used, f).astype(np.int32)
     w = np.zeros(len(used))
     state = [np.zeros(len(used) + 6) for _ in range(2)]
     heads = first[:-1][np.diff(first) > 0]
     for step in range(1, steps + 1):
-        em = np.clip(w[place].sum(0) + field.bias, -30, 30)
+        em = np.clip(_total(w, place) + field.bias, -30, 30)
         e, fwd, back = field.odds(em, first)
         p = fwd * back / (1 + fwd * back)
         a, x = np.exp(field.trans), e[pair] * back[pair]
