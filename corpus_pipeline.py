@@ -22,7 +22,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents scored as toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, spans=False).where(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.score(docs, model, spans=False, name="__toxicity").where(F.col("__toxicity") < TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

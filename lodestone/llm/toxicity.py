@@ -227,11 +227,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([texts[i] for i in ids], np.array([chosen[i][1] for i in ids]), count.get(1, 0) / sum(count.values()))
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with score and, where asked for, the toxic words as toxic_spans (start, end in characters, p)."""
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, name: str = "score") -> DataFrame:
+    """``docs`` with score (under ``name``) and, where asked for, the toxic words as toxic_spans (start, end in characters, p).
+
+    Columns of these names that docs has already are left out.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "toxic_spans")]
+    fields = [f for f in docs.schema.fields if f.name not in (name, "toxic_spans")]
     docs = docs.select(*(F.col(f"`{f.name}`") for f in fields))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
@@ -240,7 +243,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
         for block in X.blocks(batches, text_col):
             words = X.Words(block.column(text_col), X.ALNUM)
             value, p = m.score(words)
-            block = block.append_column("score", pa.array(value, pa.float64()))
+            block = block.append_column(name, pa.array(value, pa.float64()))
             if spans:
                 hit = np.flatnonzero(p >= 0.5)
                 chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
@@ -252,7 +255,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
                 block = block.append_column("toxic_spans", pa.array(out, kind))
             yield block
 
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
     if spans:
         schema = schema.add("toxic_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))
     return docs.mapInArrow(run, schema)
