@@ -159,10 +159,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = tmp.cut(some.mapInArrow(carry, "id long, pos int, n_words int, print long, key binary"), "rows")
     tmp.drop("cand", "ids")
     sieve.unpersist()
-    folded = rows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    folded = tmp.cut(folded.select("print", "first", (F.col("first") != F.col("last")).alias("copied")), "folded")
-    own = F.col("first") == place
-    distinct = rows.join(folded, "print").where(own).dropDuplicates(["print"]).select("print", "key", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"))
+    folded = rows.groupBy("print").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.max(place).alias("last"))
+    same = (F.col("first.id") == F.col("last.id")) & (F.col("first.pos") == F.col("last.pos"))
+    folded = tmp.cut(folded.select("print", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), F.col("first.key").alias("key"), (~same).alias("copied")), "folded")
 
     def compare(batches):
         """Neighbours of sorted suffixes. The first and last of a partition may have any neighbour outside it."""
@@ -204,13 +203,14 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             before = np.vstack([keys[:1] if last is None else last, keys[:-1]])
             yield out(waiting, keys, before, np.vstack([keys[1:], keys[-1:]]), [0, len(keys) - 1] if start else [len(keys) - 1])
 
-    ordered = distinct.repartitionByRange("key").sortWithinPartitions("key")
+    ordered = folded.select("print", "key", "id", "pos").repartitionByRange("key").sortWithinPartitions("key")
     windows = tmp.cut(ordered.mapInArrow(compare, "print long, d int, w long, id long, s int"), "windows")
     spot = F.struct("id", "s")
     seen = windows.groupBy("w").agg(F.min(spot).alias("w0"), F.max(spot).alias("w1")).where("w0 <> w1")
     bit = F.expr("shiftleft(1L, d)")
     marks = windows.join(seen, "w").groupBy("print").agg(F.bit_or(bit).alias("again"), F.bit_or(F.when(F.col("w0") == spot, bit).otherwise(F.lit(0).cast("long"))).alias("head"))
-    marks = tmp.cut(folded.join(marks, "print", "left").where("copied or again is not null"), "marks")
+    own = folded.select("print", F.struct("id", "pos").alias("first"), "copied")
+    marks = tmp.cut(own.join(marks, "print", "left").where("copied or again is not null"), "marks")
     tmp.drop("windows")
     full = rows.join(marks, "print")
 
@@ -238,7 +238,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), *flat], ["id", "n_words", "repeated", "removable"])
             del n
 
-    found = full.select("id", "pos", "n_words", "key", "copied", "again", "head", own.alias("mine")).mapInArrow(spans, f"id long, n_words int, repeated {SPANS}, removable {SPANS}")
+    found = full.select("id", "pos", "n_words", "key", "copied", "again", "head", (F.col("first") == place).alias("mine")).mapInArrow(spans, f"id long, n_words int, repeated {SPANS}, removable {SPANS}")
     merged = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("repeated")).alias("repeated"), F.flatten(F.collect_list("removable")).alias("removable"))
     result = tmp.cut(merged.mapInArrow(_merge, f"id long, n_words int, repeated {SPANS}, removable {SPANS}").where("size(repeated) > 0"), "result")
     tmp.drop("rows", "folded", "marks")
