@@ -166,8 +166,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 2) ->
     labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, np.zeros(4), share)
-    words = X.Words(pa.array(texts, pa.large_string()), X.ALNUM)
-    f, first = features(words), words.first
+    parts, first = [], [np.zeros(1, np.int64)]
+    for block in X.blocks([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})], "text"):
+        words = X.Words(block.column("text"), X.ALNUM)
+        parts.append(features(words))
+        first.append(words.first[1:] + first[-1][-1])
+    f, first = np.concatenate(parts, 1), np.concatenate(first)
+    del parts, words
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     part = (X.mix(np.arange(len(texts), dtype=X.U)) % X.U(4)).astype(int)
     learn = part > 0
