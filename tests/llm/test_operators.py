@@ -135,7 +135,7 @@ def toxic_rows(seed, n):
         w = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
         bad = i % 4 == 0
         for _ in range(rng.randrange(2, 5) if bad else 0):
-            w.insert(rng.randrange(len(w)), rng.choice(("vexor", "Zurtish,", "zurtic")) + rng.choice(("", "al")))
+            w.insert(rng.randrange(len(w)), rng.choice(("vexor", "Zurtish", "zurtic")) + rng.choice(("", "al")))
         out.append((i, " ".join(w), int(bad)))
     return out
 
