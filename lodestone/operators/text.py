@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 
 
-def postings(docs: DataFrame, key: str = "key", text: str = "value") -> DataFrame:
-    """Distinct (term, doc_key). Terms are folded inside a document first, so only distinct pairs move."""
+def postings(docs: DataFrame, key: str = "key", text: str = "value", unique: bool = False) -> DataFrame:
+    """Distinct (term, doc_key). Terms are folded inside a document; with ``unique`` keys nothing needs to move."""
     own = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"), F.col(key).alias("doc_key"))
-    return own.distinct()
+    return own if unique else own.distinct()
 
 
 def posting_lists(pairs: DataFrame) -> DataFrame:
@@ -19,6 +19,13 @@ def posting_lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("term").agg(F.array_sort(F.collect_set("doc_key")).alias("doc_keys")).withColumn("num_keys", F.size("doc_keys"))
 
 
+def posting_chunks(pairs: DataFrame, size: int = 10000) -> DataFrame:
+    """Posting lists in chunks of about ``size`` keys, so that no common term is gathered in one task."""
+    counts = document_frequency(pairs).withColumn("chunks", F.ceil(F.col("df") / F.lit(size)).cast("int"))
+    dealt = pairs.join(counts, "term").withColumn("chunk", F.pmod(F.xxhash64("doc_key"), F.col("chunks")).cast("int"))
+    return dealt.groupBy("term", "chunk").agg(F.array_sort(F.collect_set("doc_key")).alias("doc_keys"))
+
+
 def document_frequency(pairs: DataFrame) -> DataFrame:
     """Documents of each term; ``pairs`` are distinct."""
     return pairs.groupBy("term").agg(F.count("*").alias("df"))

@@ -11,24 +11,29 @@ def segments(log: DataFrame) -> DataFrame:
     return log.groupBy("segment_id").agg(F.min("lsn").alias("start_lsn"), F.max("lsn").alias("end_lsn"), F.count("*").alias("records"))
 
 
-def segment_of(lsns: DataFrame, starts: DataFrame, width: int = 1 << 12) -> DataFrame:
-    """As-of join: of each ``lsn`` the segment with the greatest start at or below it; null before the first.
+def segment_of(lsns: DataFrame, starts: DataFrame, buckets: int = 100_000) -> DataFrame:
+    """As-of join: of each row's ``lsn`` the segment with the greatest start at or below it; null before the first.
 
-    Starts are carried along buckets of LSNs, so a record meets the starts of
-    its own bucket and the last one before it, not all of them.
+    LSNs are dealt to at most ``buckets`` ranges. Inside one, a running last
+    value finds the start, in one sort of starts and rows together; what comes
+    before the first start of a range is carried from the ranges before, of
+    which there is a row each.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    own = starts.select("segment_id", "start_lsn", bucket("start_lsn").alias("b"))
-    queries = lsns.withColumn("b", bucket("lsn"))
-    last = own.groupBy("b").agg(F.max("start_lsn").alias("top"), F.max_by("segment_id", "start_lsn").alias("top_id"))
-    every = queries.select("b").distinct().join(last, "b", "full")
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select("b", F.last("top_id", True).over(before).alias("old_id"))
-    inside = queries.join(own.withColumnRenamed("segment_id", "new_id").withColumnRenamed("start_lsn", "s"), "b", "left").where("s is null or s <= lsn")
-    keys = lsns.columns
-    picked = inside.groupBy(*keys, "b").agg(F.max_by("new_id", "s").alias("new_id"))
-    full = queries.join(picked.select(*keys, "b", "new_id"), [*keys, "b"], "left").join(carried, "b", "left")
-    return full.select(*keys, F.coalesce("new_id", "old_id").alias("segment_id"))
+    low, high = starts.agg(F.min("start_lsn"), F.max("start_lsn")).first()
+    if low is None:
+        return lsns.withColumn("segment_id", F.lit(None).cast(starts.schema["segment_id"].dataType))
+    width = (high - low) // buckets + 1
+    bucket = lambda c: F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(width)), F.lit(buckets)).cast("long")
+    row = F.struct(*lsns.columns)
+    nothing = F.lit(None).cast(lsns.select(row.alias("r")).schema["r"].dataType)
+    marks = starts.select(bucket("start_lsn").alias("b"), F.col("start_lsn").alias("at"), "segment_id", nothing.alias("r"))
+    asked = lsns.select(bucket("lsn").alias("b"), F.col("lsn").alias("at"), F.lit(None).cast(starts.schema["segment_id"].dataType).alias("segment_id"), row.alias("r"))
+    w = Window.partitionBy("b").orderBy("at", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = marks.unionByName(asked).withColumn("own", F.last("segment_id", True).over(w)).where("r is not null")
+    last = starts.groupBy(bucket("start_lsn").alias("b")).agg(F.max_by("segment_id", "start_lsn").alias("old"))
+    until = F.coalesce(F.lead("b").over(Window.orderBy("b")), F.lit(buckets))
+    carried = last.withColumn("until", until).where("until > b").select(F.explode(F.sequence(F.col("b") + 1, F.col("until"))).alias("b"), "old")
+    return own.join(F.broadcast(carried), "b", "left").select("r.*", F.coalesce("own", "old").alias("segment_id"))
 
 
 def slot_lag(slots: DataFrame, last_lsn: int) -> DataFrame:

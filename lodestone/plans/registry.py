@@ -49,7 +49,7 @@ def _customers(spark, d):
 
 def _documents(spark, d):
     rows = _read(spark, d, "documents").select(DOC_KEYS.encode().alias("key"), F.col("text").alias("value"), "source")
-    return IndexDef("documents", INVERTED, rows, text_ops.postings(rows))
+    return IndexDef("documents", INVERTED, rows, text_ops.postings(rows, unique=True))
 
 
 def _lineitem(spark, d):
@@ -186,6 +186,12 @@ def text_postings(spark, d):
     return text_ops.posting_lists(_documents(spark, d).postings).select("term", F.array_join("doc_keys", ",").alias("doc_keys"), F.col("num_keys").cast("long").alias("num_keys"))
 
 
+@query(f"SELECT term, count(*) AS num_keys, min(doc_key) AS first_key FROM {TERMS_SQL} GROUP BY term")
+def text_posting_chunks(spark, d):
+    chunks = text_ops.posting_chunks(_documents(spark, d).postings, 100)
+    return chunks.groupBy("term").agg(F.sum(F.size("doc_keys")).alias("num_keys"), F.min(F.get("doc_keys", F.lit(0))).alias("first_key"))
+
+
 @query(f"SELECT DISTINCT doc_key AS key, CAST(1.0 AS DOUBLE) AS score FROM {TERMS_SQL} WHERE term IN ('clown', 'tra', 'trash') ORDER BY key LIMIT 20")
 def text_search(spark, d):
     return text_ops.search(_documents(spark, d).postings, "the Clowns, trash tra!", 20)
