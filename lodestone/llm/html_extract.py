@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a group about.
-GROUP = 48
+#: Pages of a group about, and rows of the table of large hosts at most.
+GROUP, BUCKETS = 48, 1 << 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -60,8 +60,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
-        self.events: list[tuple[int, str, bool]] = []  # kind (0 break, 1 text), text, never the article
-        self.region: list[int] = []  # of each token: 2 article, 1 main, 0 elsewhere, -1 never the article
+        #: kind (0 break, 1 text), text, region (2 article, 1 main, 0 elsewhere, -1 never the article), tokens so far
+        self.events: list[tuple[int, str, int, int]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -74,16 +74,13 @@ class Page:
         def text(raw: str) -> None:
             value = html.unescape(raw)
             path = stack[-1][1] if stack else ""
-            for word in value.split():
-                self.tokens.append(f"{path} {word}")
-                self.region.append(region())
+            self.tokens += [f"{path} {word}" for word in value.split()]
             self.events.append((1, value, region(), len(self.tokens)))
 
         def close(k: int) -> None:
             while len(stack) > k:
                 name, path, r = stack.pop()
                 self.tokens.append(f"</{path}")
-                self.region.append(r)
                 if name not in _INLINE:
                     self.events.append((0, "", r, len(self.tokens)))
 
@@ -131,7 +128,6 @@ class Page:
                 r = -1
             path = f"{stack[-1][1] if stack else ''}/{name}{'.' + names if names else ''}"
             self.tokens.append(f"<{path}")
-            self.region.append(r)
             if name not in _INLINE:
                 self.events.append((0, "", r, len(self.tokens)))
             if name in _VOID or m[3].rstrip().endswith("/"):
@@ -177,7 +173,6 @@ def template(pages: list[Page], least: int = 2) -> set[str]:
 
 def extract(page: Page, own: set[str], many: bool) -> str:
     """The text of the slots that are content."""
-    best = max((r for _, _, r, _ in page.events if r >= 0), default=0)
     has = {r for kind, value, r, _ in page.events if kind and r >= 0 and value.strip()}
     best = 2 if 2 in has else 1 if 1 in has else 0
     blocks: list[str] = []
@@ -207,9 +202,13 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
-    # A host of many pages is dealt to groups of about ``group``; the sizes are a row a host and stay on the executors.
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("groups"))
-    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"))
+    # A host of many pages is dealt to groups of about ``group``. Their number comes from a table of fixed
+    # size, by a hash of the host, so pages move once and never by host alone.
+    bucket = F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    large = large.groupBy(bucket).agg(F.ceil(F.max("n") / F.lit(group)).cast("int").alias("groups"))
+    dealt = rows.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", "left")  # at most a row a bucket
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int")).drop("bucket", "groups")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in ("page_id", "url"))
 
     def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
