@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from . import text as X
 
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
+#: Words of a training sequence: longer texts are trained on as several, and scored as one.
+SEQUENCE = 256
 SAMPLE, SAMPLE_BYTES = 2000, 4 << 20
 
 
@@ -94,7 +96,7 @@ class Field:
         return x / (1 + x)
 
 
-def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 40, l2: float = 0.02) -> Field:
+def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 30, l2: float = 0.02) -> Field:
     """Maximum conditional likelihood by Adam over all documents at once."""
     field = Field(np.zeros(1 << BITS), -4.0, 0.0, np.zeros((2, 2)))
     inner = np.ones(len(tags), bool)
@@ -193,6 +195,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 2) ->
     keep = learn[doc]
     size = np.where(learn, np.diff(first), 0)
     own = np.concatenate([[0], np.cumsum(size[learn])])
+    own = np.unique(np.concatenate([own, *(np.arange(a, b, SEQUENCE) for a, b in zip(own[:-1], own[1:], strict=True))]))
     field = None
     for k in range(rounds):
         field = train_field(f[:, keep], own, tags[keep])
