@@ -6,7 +6,8 @@ over hash buckets that counts every word of every document, then by the hash. An
 shingle among the first n - ceil(t n) + 1 of either, so only these prefixes
 are joined. Equal sets are folded before the join and unfolded after it.
 
-A posting list isn't expanded into its pairs. Each round compares one head of
+Lists are split by set size first, so that the length filter holds before any
+pair is made. A posting list isn't expanded into its pairs. Each round compares one head of
 a list with the other members; links found join components, and only lists
 that still hold more than one component go on. What few rounds leave is joined
 pair by pair, over members of different components alone. Every pair of a
@@ -22,6 +23,7 @@ empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ BUCKET_BITS = 22
 #: Counts of a set by the top bits of its shingles, 8 bits each: the suffix filter's partition.
 SUFFIX_PARTS = 8
 #: Rounds of heads, and how many times the posting rows the pairs left may number before another round is run.
-ROUNDS, REST = 12, 4
+ROUNDS, REST = 8, 16
 #: Bits of the sieve of ids that a text is read again for.
 SIEVE_BITS = 24
 
@@ -181,8 +183,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     reps = keyed.join(folded.select("fp", "fp2", F.col("rep").alias("id")), ["fp", "fp2", "id"], "left_semi")
     post = tmp.cut(reps.select("id", "n", "parts", F.posexplode("prefix").alias("at", "token")), "post")
     often = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    post = tmp.cut(post.join(often.select("token"), "token"), "often")
+    # Similar sets differ in size by one step of a geometric scale at most: a list is one step and the next.
+    step = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.0001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    post = post.select("id", "n", "parts", "at", "token", F.explode(F.array(step, step - 1)).alias("step"))
+    post = post.withColumn("token", F.xxhash64("token", "step")).drop("step")
+    often = post.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     post = tmp.cut(post.join(often.select("token"), "token"), "lists")
-    tmp.drop("post")
+    tmp.drop("post", "often")
     wanted = tmp.cut(post.select("id").distinct(), "wanted")
     sieve = spark.sparkContext.broadcast(_bitmap(wanted))
 
