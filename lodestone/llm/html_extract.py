@@ -3,17 +3,22 @@
 Pages of one host are taken together in groups of bounded size. A page is a
 sequence of tokens: tags with the path of elements they stand in, and words.
 Tokens that occur equally often on every page of the group (one occurrence
-vector) form an equivalence class; a class is valid where its tokens come in
-one order on every page and its occurrences don't interleave. The class that
-occurs once a page is the template's root, other valid classes nest in the
-slots between its tokens. What fills the slots is the pages' own; the text of
-class tokens is the template's.
-
-A slot is content unless it stands in an element that is never the article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts, styles, by element, role, class or id). Where the page has an article
-element its slots are taken, else the slots of its main element, else all
-content slots, without words that the template repeats on every page.
+vector) form an equivalence class. The class that occurs once a page, as far
+as its tokens come in one order on every page, is the template's root. It cuts
+pages into slots; in each slot classes are sought again, and in each
+repetition of a class that occurs several times there in one order without
+interleaving, so that classes nest until a slot has none. What is left in the
+slots is the pages' own; the text of class tokens is the template's.
+
+The text of a page is that of its slots: a block (text between breaks) of
+class tokens alone is left out, on every page, inside an article too; a block
+that a slot fills in part stays whole, because words of an article recur on
+other pages by chance. Elements choose among the slots: one is never the
+article in menus, headers, footers, sidebars, notices, adverts, forms,
+comments, scripts and styles, by element, role, class or id. Where the page has
+an article element its slots are taken, else the slots of its main element,
+else all others. An article of class tokens alone is one that its near copies
+share, and stays.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -140,61 +146,109 @@ class Page:
         close(0)
 
 
-def template(pages: list[Page], least: int = 2) -> set[str]:
-    """Tokens of the valid equivalence classes of a group: the root class and those that nest in it.
+def _ordered(spans: list[list[str]], members: set[str]) -> list[str]:
+    """Of tokens that each span has once, the most that come in one order on all of them, pairwise: a longest common chain."""
+    order = [t for t in spans[0] if t in members]
+    for tokens in spans[1:]:
+        place = {t: i for i, t in enumerate(tokens) if t in members}
+        at = [place[t] for t in order]
+        tails: list[int] = []  # places; ends[i] is the token of tails[i]
+        ends: list[int] = []
+        before = [-1] * len(at)
+        for i, x in enumerate(at):
+            k = bisect_left(tails, x)
+            before[i] = ends[k - 1] if k else -1
+            tails[k : k + 1], ends[k : k + 1] = [x], [i]
+        chain, i = [], ends[-1] if ends else -1
+        while i >= 0:
+            chain.append(order[i])
+            i = before[i]
+        order = chain[::-1]
+    return order
 
-    Of fewer than ``least`` pages no word can be told from the template, so only tags are.
-    """
-    counts = [Counter(p.tokens) for p in pages]
-    common = set(counts[0]).intersection(*counts[1:]) if counts else set()
-    classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for t in common:
-        classes[tuple(c[t] for c in counts)].append(t)
-    out: set[str] = set()
-    for vector, members in classes.items():
-        if len(pages) < least:
-            members = [t for t in members if t[0] == "<"]
-        if len(members) < 2:
-            continue
+
+def _repeated(spans: list[list[str]], classes: dict[tuple[int, ...], list[str]]) -> list[str]:
+    """The largest class that comes again and again in one order without interleaving, its tokens in that order."""
+    for vector, members in sorted(classes.items(), key=lambda c: (-len(c[1]), c[0])):
         names = set(members)
-        order: list[str] | None = None
-        for p, times in zip(pages, vector, strict=True):
-            seen = [t for t in p.tokens if t in names]
-            first = seen[: len(members)]
-            if order is None:
-                order = first
-            # One order of the members, again and again, without interleaving.
-            if seen != order * times or len(set(order)) != len(members):
-                break
-        else:
-            out |= names
-    return out
+        order = [t for t in spans[0] if t in names][: len(members)]
+        if len(members) > 1 and len(set(order)) == len(order) and all([t for t in s if t in names] == order * n for s, n in zip(spans, vector, strict=True)):
+            return order
+    return []
+
+
+def template(pages: list[Page], least: int = 2) -> dict[tuple[str, ...], bytearray]:
+    """Which tokens of each page are the template's; what lies between them are its slots.
+
+    The tokens that come once on every page are the root class. Each slot between two of them is taken by itself
+    on all pages, and so is each repetition of a class that comes several times in a slot: the classes found there
+    nest in it. Pages of the same tokens count once. Of fewer than ``least`` no word can be told from the template.
+    """
+    texts = [list(t) for t in dict.fromkeys(tuple(p.tokens) for p in pages)]
+    marks = [bytearray(len(t)) for t in texts]
+    if len(texts) < least:
+        for t, m in zip(texts, marks, strict=True):
+            m[:] = bytes(x[0] == "<" for x in t)
+        todo = []
+    else:
+        todo = [[(i, 0, len(t)) for i, t in enumerate(texts)]]
+    while todo:
+        places = todo.pop()
+        if len(places) < 2 or any(lo >= hi for _, lo, hi in places):
+            continue  # a slot that is empty somewhere holds nothing that every page repeats
+        spans = [texts[i][lo:hi] for i, lo, hi in places]
+        common = set(min(spans, key=len)).intersection(*spans)
+        counts = [Counter(t for t in s if t in common) for s in spans]
+        classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
+        for t in common:
+            classes[tuple(c[t] for c in counts)].append(t)
+        once = classes.pop((1,) * len(spans), [])
+        chain = _ordered(spans, set(once))
+        cuts: list[list[int]] = []  # of each span, where the tokens of the class are
+        if chain:
+            names = set(chain)
+            for (i, lo, _), s in zip(places, spans, strict=True):
+                cuts.append([lo + k for k, t in enumerate(s) if t in names])
+                for k in cuts[-1]:
+                    marks[i][k] = 1
+            for k in range(len(chain) + 1):
+                todo.append([(i, at[k - 1] + 1 if k else lo, at[k] if k < len(chain) else hi) for (i, lo, hi), at in zip(places, cuts, strict=True)])
+        elif again := _repeated(spans, classes):
+            cuts = [[lo + k for k, t in enumerate(s) if t == again[0]] for (_, lo, _), s in zip(places, spans, strict=True)]
+            todo.append([(i, lo, at[0]) for (i, lo, _), at in zip(places, cuts, strict=True)])
+            todo.append([(i, a, b) for (i, _, hi), at in zip(places, cuts, strict=True) for a, b in zip(at, [*at[1:], hi], strict=True)])
+    return {tuple(t): m for t, m in zip(texts, marks, strict=True)}
 
 
-def extract(page: Page, own: set[str], many: bool) -> str:
+def extract(page: Page, own: dict[tuple[str, ...], bytearray], many: bool) -> str:
     """The text of the slots that are content."""
-    has = {r for kind, value, r, _ in page.events if kind and r >= 0 and value.strip()}
-    best = 2 if 2 in has else 1 if 1 in has else 0
-    blocks: list[str] = []
-    part: list[str] = []
+    mine = own.get(tuple(page.tokens), b"") if many else b""
+    blocks: list[tuple[str, int, bool]] = []  # text, region, whether a slot fills any of it
+    parts: dict[int, list[str]] = defaultdict(list)
+    filled: set[int] = set()
     at = 0
-    for kind, value, r, end in page.events:
-        if not kind:
+
+    def close() -> None:
+        for r, part in parts.items():
             words = " ".join("".join(part).split())
             if words:
-                blocks.append(words)
-            part = []
-        elif r == best:
-            if best == 0 and many:
-                # Outside any article the words that the template repeats aren't the page's own.
-                words = page.tokens[at:end]
-                texts = [t for t in words if t[0] != "<"]
-                if texts and all(t in own for t in texts):
-                    value = ""
-            part.append(value)
+                blocks.append((words, r, r in filled))
+        parts.clear()
+        filled.clear()
+
+    for kind, value, r, end in page.events:
+        if not kind:
+            close()
+        elif r >= 0:
+            parts[r].append(value)
+            if not mine or not all(mine[i] for i in range(at, end) if page.tokens[i][0] != "<"):
+                filled.add(r)
         at = end
-    words = " ".join("".join(part).split())
-    return " ".join([*blocks, words] if words else blocks)
+    close()
+    best = max((r for _, r, _ in blocks), default=0)
+    found = [b for b in blocks if b[1] == best]
+    # An article that repeats as a whole is that of near copies, not the template's.
+    return " ".join(words for words, _, fills in found if fills or not any(f for _, _, f in found))
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:

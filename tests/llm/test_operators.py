@@ -305,6 +305,21 @@ def test_template_words_are_dropped():
     assert [html_extract.extract(p, own, True) for p in pages] == ["one text of its own", "another thing entirely", "third"]
 
 
+def test_slots_are_the_text_of_articles_too():
+    def texts(sources):
+        pages = [html_extract.Page(s) for s in sources]
+        own = html_extract.template(pages)
+        return [html_extract.extract(p, own, True) for p in pages]
+
+    items = (["ant", "bee"], ["cow"], ["dog", "eel", "fox"])
+    page = "<html><body><nav>{0}</nav><article><p>Read more of us</p><h1>the {0}</h1><ul>{1}</ul><p>Sent from our desk</p></article></body></html>"
+    sources = [page.format(i, "".join(f"<li><p>Item no</p><p>{x}</p></li>" for x in x)) for i, x in enumerate(items)]
+    assert texts(sources) == ["the 0 ant bee", "the 1 cow", "the 2 dog eel fox"]  # "Item no" is of a class that nests in the slot of the list
+    assert texts(sources[:1]) == ["Read more of us the 0 Item no ant Item no bee Sent from our desk"]
+    copies = [f"<nav>{i}</nav><article><p>one and the same</p></article>" for i in range(3)]
+    assert texts(copies) == ["one and the same"] * 3
+
+
 def test_html_table(spark):
     rows = [(i, f"https://h{i % 2}.example/{i}", f"<html><body><nav><ul><li>m</li></ul></nav><article><h1>t{i}</h1><p>x  {i}</p></article><footer>f</footer></body></html>") for i in range(130)]
     rows += [(200, None, None), (201, "http://a", ""), (201, "http://a", ""), (None, "x", "<p>q")]
