@@ -350,6 +350,15 @@ def wal_segment_asof(spark, d):
     return wal.segment_of(asked, wal.segments(_stream(spark, d)))
 
 
+@query(f"SELECT q.event_id, q.lsn, s.segment_id FROM (SELECT event_id, (event_id * 13) % (SELECT max(event_id) + 2001 FROM events) AS lsn FROM events) q ASOF LEFT JOIN {SEGMENTS_SQL} s ON q.lsn >= s.start_lsn")
+def wal_segment_asof_all(spark, d):
+    """Every event asks, for LSNs over the whole log, before its first segment and beyond its last one."""
+    events = _read(spark, d, "events").select("event_id")
+    end = F.broadcast(events.agg((F.max("event_id") + 2001).alias("end")))
+    asked = events.crossJoin(end).select("event_id", (F.col("event_id") * 13 % F.col("end")).alias("lsn"))
+    return wal.segment_of(asked, wal.segments(_stream(spark, d)))
+
+
 def _consumers(spark):
     return spark.createDataFrame([("a", 7300, True), ("b", 4200, True), ("c", 100, False)], "name string, restart_lsn long, is_active boolean")
 

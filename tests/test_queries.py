@@ -64,3 +64,15 @@ def test_request_quota(spark):
 
     got = [r.admitted for r in request_quota(rows, "u", "ts", "i", 2).orderBy("i").collect()]
     assert got == [True, True, False, True, True, True, True, False, True]
+
+
+def test_every_event_asks_for_its_segment(spark):
+    events = [r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()]
+    starts = {}
+    for e in events:
+        starts[e // 1000] = min(e + 1, starts.get(e // 1000, e + 1))
+    rows = QUERIES["wal_segment_asof_all"](spark, DATA).collect()
+    assert sorted(r.event_id for r in rows) == sorted(events) and {r.segment_id for r in rows} >= set(starts)
+    for r in rows:
+        assert r.lsn == r.event_id * 13 % (max(events) + 2001)
+        assert r.segment_id == max(((at, s) for s, at in starts.items() if at <= r.lsn), default=(0, None))[1]
