@@ -1,12 +1,17 @@
 """Brown class-based language model: exchange clustering, class trigrams, word emissions.
 
-Counts are taken over all training documents. The ``frequent`` most frequent
-words are clustered by exchange on the driver, over their bigram table, whose
-size is fixed; every other word votes at each of its occurrences for the class
-that fits best between its neighbours, and joins the tail class of the most
-votes. Words are 64-bit hashes; counts reach the documents block by block,
-through a join of each block's distinct words with the vocabulary, so no
-vocabulary is held in one place.
+Counts are taken over all training documents. A start is made on the driver:
+the ``frequent`` most frequent words are clustered by exchange over their
+bigram table, and every other word votes at each of its occurrences for the
+class that fits best between its neighbours, and joins the tail class of the
+most votes. Then all words are exchanged, ``rounds`` times: how often a word
+stands before and after each class is counted over the documents, sparse and
+by parts of the vocabulary, and each word moves to the class that raises the
+likelihood of the class bigrams most, given the classes of its neighbours and
+the moves before it in its part. A round that doesn't raise it is taken back
+and is the last. Words are 64-bit hashes; counts
+reach the documents block by block, through a join of each block's distinct
+words with the vocabulary, so no vocabulary is held in one place.
 
     P(w | history) = P(class | last two classes) (c(w) - d) / N(class)
 
@@ -36,7 +41,9 @@ from . import text as X
 from .scratch import Scratch
 from .sums import dense_sum
 
-FREQUENT, CLASSES, SWEEPS, DISCOUNT = 2000, 48, 6, 0.75
+FREQUENT, CLASSES, SWEEPS, ROUNDS, DISCOUNT = 2000, 48, 6, 2, 0.75
+#: Distinct words of a part of the vocabulary about, whose moves are found together.
+PART_WORDS = 1 << 17
 #: Text bytes of a block of documents whose distinct words are looked up together.
 LOOKUP_BYTES = 8 << 20
 END = X.U(0x9D3F_0E5A_71C2_86B4)
@@ -125,6 +132,55 @@ def votes(bigrams: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.argmax(before[:, None, :] + after.T[None, :, :], axis=2)
 
 
+def likelihood(grid: np.ndarray) -> float:
+    """The part of the log-likelihood of class bigrams that depends on the classes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
+
+
+def moves(grid: np.ndarray, cls: np.ndarray, first: np.ndarray, slot: np.ndarray, n: np.ndarray, parts: int = 1, chunk: int = 1 << 12) -> np.ndarray:
+    """The best class of each word of a part: entries first[i] to first[i + 1] are word i's.
+
+    An entry says that the word stands n times before class ``slot``, or after class ``slot`` - k. Words are moved in
+    falling frequency, few at a time, and change the grid for those after them; each move counts ``parts`` times,
+    because as many are made in the other parts, of words dealt by hash.
+    """
+    k = len(grid)
+    near = np.hstack([grid, grid.T]).astype(float)  # class by slot
+    rows, cols = near[:, :k].sum(1), near[:, k:].sum(1)
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    out = cls.astype(np.int64)
+    right = np.where(slot < k, n, 0)
+    before, after = np.add.reduceat(right, first[:-1]).astype(float), np.add.reduceat(n - right, first[:-1]).astype(float)
+    falling = np.argsort(-before, kind="stable")
+    cost = np.cumsum(np.diff(first)[falling] / chunk + 200 * before[falling] / max(before.sum(), 1))
+    for w in np.split(falling, np.flatnonzero(np.diff(np.floor(cost))) + 1):
+        many = first[w + 1] - first[w]
+        at = np.cumsum(many) - many
+        entry = np.arange(many.sum()) + np.repeat(first[w] - at, many)
+        s, x, word = slot[entry], n[entry], np.repeat(np.arange(len(w)), many)
+        own, b, a = out[w], before[w], after[w]
+        # In its own class the word is counted already.
+        was = near[own[word], s]
+        stay = np.add.reduceat(f(was) - f(np.maximum(was - x, 0)), at)
+        stay -= f(rows[own]) - f(np.maximum(rows[own] - b, 0)) + f(cols[own]) - f(np.maximum(cols[own] - a, 0))
+        kinds, which = np.unique(x * (2 * k) + s, return_inverse=True)  # rare words share most of theirs
+        there = near.T[kinds % (2 * k)]
+        each = f(there + (kinds // (2 * k))[:, None]) - f(there)
+        gain = np.add.reduceat(each[which], at) - f(rows + b[:, None]) + f(rows) - f(cols + a[:, None]) + f(cols)
+        gain[np.arange(len(w)), own] = stay
+        best = np.argmax(gain, 1)
+        best = np.where(gain[np.arange(len(w)), best] > stay + 1e-9, best, own)
+        go = best != own
+        moved = go[word]
+        np.add.at(near, (own[word][moved], s[moved]), -parts * x[moved])
+        np.add.at(near, (best[word][moved], s[moved]), parts * x[moved])
+        np.maximum(near, 0, out=near)
+        rows, cols = near[:, :k].sum(1), near[:, k:].sum(1)
+        out[w] = best
+    return out
+
+
 @dataclass
 class Transitions:
     """log10 P(class | two classes before) and of the unknown type."""
@@ -159,7 +215,7 @@ def history(c: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return np.where(own >= 2, values[before], end), last
 
 
-def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, discount: float = DISCOUNT, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, rounds: int = ROUNDS, discount: float = DISCOUNT, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Scores of ``docs``, learnt from the rows where the column ``train`` holds.
 
     Returns id, train, n_tokens, n_known, train_tokens, base_score and score
@@ -235,6 +291,8 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
         tail = cast.groupBy("h").agg(F.max(F.struct("n", (-F.col("class")).alias("class"))).alias("x")).select("h", (k - F.col("x.class")).cast("int").alias("class"))
         fixed = spark.createDataFrame(list(zip(X.signed(top_h).tolist(), cls.tolist(), strict=True)), "h long, class int")
         vocab2 = tmp.cut(vocab.join(tail.union(fixed), "h"), "classed")
+        tmp.drop("vocab")
+        vocab2 = _exchanged(tmp, docs.where("learn").select("blk", "text"), asked.where("c > 0").select("blk", "h"), vocab2, top_h, 2 * k, distinct_n, rounds)
     else:
         k = 0
         vocab2 = vocab.withColumn("class", F.lit(0))
@@ -267,7 +325,7 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
     spec = f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, emit double, classes binary"
     block_schema = spec
     coded = tmp.cut(docs.groupBy("blk").cogroup(answer.groupBy("blk")).applyInArrow(code, spec), "coded")
-    tmp.drop("asked", "vocab", "classed")
+    tmp.drop("asked", "vocab", "classed", *(f"classed-{i}" for i in range(rounds)))
 
     def grams(batch):
         for part in _parts(batch):
@@ -295,6 +353,118 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
     return coded.mapInArrow(final, f"id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _exchanged(tmp: Scratch, learning: DataFrame, asked: DataFrame, classed: DataFrame, top: np.ndarray, k: int, n_words: int, rounds: int) -> DataFrame:
+    """h, c and class of every word of ``classed`` after exchange rounds over all of them, at their full counts.
+
+    The frequent words ``top`` are a part of their own, so that none of them stands for others.
+    """
+    spark = learning.sparkSession
+    parts = max(1, -(-n_words // PART_WORDS))
+    head = spark.sparkContext.broadcast(top)
+
+    def contexts(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
+        """Of a block: the class bigrams (part -1), and by part of the vocabulary what stands beside each word."""
+        keys, own = right.column("h").to_numpy().view(X.U), right.column("class").to_numpy()
+        order = np.argsort(keys)
+        keys, own = keys[order], own[order].astype(np.int64)
+        code, count, grid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(k * k, np.int64)
+        for block in X.blocks(left.combine_chunks().to_batches(), "text"):
+            h, first = tokens(block.column("text"))
+            w = np.searchsorted(keys, h)
+            c = own[w]
+            before = np.concatenate([[0], c[:-1]])
+            before[first[:-1]] = own[np.searchsorted(keys, END)]
+            grid += np.bincount(before * k + c, minlength=k * k)
+            if not words:
+                continue
+            # The end of a text stands before the first word of each.
+            last = np.zeros(len(h), bool)
+            last[first[1:] - 1] = True
+            after = np.concatenate([c[1:], [0]])
+            after[last] = c[first[:-1]]
+            code, count = _sum(np.concatenate([code, w * (2 * k) + after, w * (2 * k) + k + before]), np.concatenate([count, np.ones(2 * len(h), np.int64)]))
+        rows = [(-1, b"", b"", b"", b"", grid.tobytes())]
+        if len(code):
+            word, slot = code // (2 * k), code % (2 * k)
+            part = np.where(np.isin(keys, head.value), parts, (keys % X.U(parts)).astype(np.int64))[word]
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                u, n = np.unique(word[at], return_counts=True)
+                rows.append((p, keys[u].tobytes(), own[u].astype(np.int16).tobytes(), n.astype(np.int16).tobytes(), slot[at].astype(np.int16).tobytes(), count[at].astype(np.int32).tobytes()))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32())} | {name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("h", "class", "many", "slot", "n"), 1)})
+
+    def grids(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for x in batch.column("n"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_pydict({"n": [total.tobytes()]})
+
+    def seen(classed: DataFrame, name: str, words: bool) -> tuple[DataFrame, np.ndarray]:
+        answer = asked.join(classed.select("h", "class"), "h").select("blk", "h", "class")
+        run = lambda left, right: contexts(left, right, words)
+        found = tmp.cut(learning.groupBy("blk").cogroup(answer.groupBy("blk")).applyInArrow(run, "part int, h binary, class binary, many binary, slot binary, n binary"), name)
+        tmp.sweep()
+        sums = found.where("part < 0").select("n").mapInArrow(grids, "n binary").collect()
+        return found, sum(np.frombuffer(r["n"], np.int64) for r in sums).reshape(k, k)
+
+    def move(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, cls = np.zeros(0, X.U), np.zeros(0, np.int16)
+        code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def fold() -> None:
+            nonlocal every, cls, code, count, size
+            new = np.unique(np.concatenate([every, *(h for h, *_ in waiting)]))
+            to = np.zeros(len(new), np.int16)
+            to[np.searchsorted(new, every)] = cls
+            codes, counts = [np.searchsorted(new, every)[code // (2 * k)] * (2 * k) + code % (2 * k)] if len(every) else [], [count]
+            for h, c, many, slot, n in waiting:
+                at = np.searchsorted(new, h)
+                to[at] = c
+                codes.append(np.repeat(at, many) * (2 * k) + slot)
+                counts.append(n)
+            code, count = _sum(np.concatenate(codes), np.concatenate(counts))
+            every, cls, size = new, to, 0
+            waiting.clear()
+
+        for t in tables:
+            columns = [t.column(name) for name in ("h", "class", "many", "slot", "n")]
+            for row in zip(*columns, strict=True):
+                waiting.append(tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (X.U, np.int16, np.int16, np.int16, np.int32), strict=True)))
+                size += len(waiting[-1][3])
+                if size > 1 << 21:
+                    fold()
+        if waiting:
+            fold()
+        first = np.searchsorted(code // (2 * k), np.arange(len(every) + 1))
+        slot = code % (2 * k)
+        best = moves(shared.value, cls, first, slot, count, parts if key[0].as_py() < parts else 1)
+        c = np.add.reduceat(np.where(slot < k, count, 0), first[:-1])
+        yield pa.RecordBatch.from_pydict({"h": pa.array(X.signed(every)), "c": pa.array(c), "class": pa.array(best.astype(np.int32))})
+
+    before, least = classed, -np.inf
+    for turn in range(rounds + 1):
+        found, grid = seen(classed, f"beside-{turn}", turn < rounds)
+        value = likelihood(grid)
+        if turn == rounds or value <= least:
+            tmp.drop(f"beside-{turn}")
+            return classed if value > least else before
+        shared = spark.sparkContext.broadcast(grid)
+        before, least = classed, value
+        classed = tmp.cut(found.where("part >= 0").groupBy("part").applyInArrow(_typed(move), "h long, c long, class int"), f"classed-{turn}")
+        tmp.drop(f"beside-{turn}")
+
+
+def _sum(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))[: len(code)]
+    return code[new], np.add.reduceat(count, new) if len(new) else count
+
+
 def _typed(f):
     """applyInArrow takes batches one by one from a function of these annotations."""
 

@@ -234,6 +234,38 @@ def test_class_lm(spark, docs, empty):
     assert class_lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_rare_words_are_exchanged(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)  # two kinds of words take turns; few of either are frequent, so rare ones stand beside rare ones
+    kinds = [[f"{k}{i}" for i in range(100)] for k in "xy"]
+    draw = lambda k: kinds[k][rng.randrange(2) if rng.random() < 0.3 else rng.randrange(100)]
+    rows = [(i, " ".join(draw((i + j) % 2) for j in range(60))) for i in range(200)]
+    learn = F.col("doc_id") < 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda **o: sum(r.score for r in class_lm.score(docs, learn, frequent=5, classes=3, lookup_bytes=20_000, **o).where("not learn").collect())
+    # Knowing the kind of each word saves a bit a word; votes of frequent neighbours alone don't tell the kinds apart.
+    assert held() > held(rounds=0) + 0.5 * math.log10(2) * 50 * 60 * 0.3
+
+
+def test_moves_raise_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, k = 60, 4
+    big = rng.poisson(0.1, (n, n))
+    for _ in range(4000):
+        a = rng.integers(n)
+        big[a, rng.integers(n // 2) * 2 + (a + 1) % 2] += 1
+    cls = rng.integers(0, k, n)
+    values = []
+    for _ in range(4):
+        one = np.eye(k, dtype=np.int64)[cls]
+        values.append(class_lm.likelihood(one.T @ big @ one))
+        beside = np.hstack([big @ one, big.T @ one])
+        word, slot = np.nonzero(beside)
+        cls = class_lm.moves(one.T @ big @ one, cls, np.searchsorted(word, np.arange(n + 1)), slot, beside[word, slot])
+    assert values[1] > values[0] and values[-1] > values[0] + 1000
+
+
 # 4
 
 
