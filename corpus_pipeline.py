@@ -15,7 +15,7 @@ from lodestone.llm import decontaminate, ngram_join, packing, suffix_dedup, toxi
 from lodestone.llm.encode import tokenizer_path
 from lodestone.llm.scratch import Scratch
 
-#: Documents of this score or more are rejected.
+#: Documents of this score or more are rejected. Operator 1 calls them toxic from 0.3 on; README has the figures of both.
 TOXIC = 0.5
 
 
