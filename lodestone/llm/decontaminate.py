@@ -7,14 +7,17 @@ windows are searched backward at once, their occurrences located by sampled
 suffix positions, and the spans of a document merged.
 
 The benchmark is sent to the executors in blocks of at most ``block_bytes`` of
-text (a larger one takes several passes, whose spans are merged), so what is
-broadcast is bounded whatever its size.
+text, one at a time: a larger one takes several passes over the documents as
+they are, each written before the next, and their spans are merged. So what is
+held and broadcast is bounded whatever its size, and the result is the same
+for any size of the blocks.
 
 Nulls: a null text is an empty one and has no words; items with a null id are
 ignored; rows of one item id together are one item. A null document id is kept
 as such. Documents without words give zeros. Repeated document rows give a row
 each. Empty tables: no documents give no rows; no benchmark gives no hits.
-Other columns are ignored.
+Texts of any length are searched whole. Other columns are ignored by ``hits``
+and kept by ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 from .fm_index import FMIndex
+from .scratch import Scratch
 
 BLOCK_BYTES = 16 << 20
 
@@ -101,38 +106,61 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 SPANS = "array<struct<start:int,end:int,first:int,words:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int32()), ("words", pa.int32())]))
+STATE = "struct<spans:array<struct<first:int,words:int>>,items:array<string>>"
+_STATE = pa.struct([("spans", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
-def _scan(windows, last: bool, keep_text: bool):
-    """One pass: the spans and items found before, if any, and those of this block of the benchmark."""
+def _scan(windows, text_col: str, state: str):
+    """One pass: a column ``state`` with the spans and items of this block of the benchmark, and those found before, if any."""
 
     def run(batches):
         w: Windows = windows.value
-        for block in X.blocks(batches, "text"):
-            words = X.Words(block.column("text"), X.ALNUM)
+        for block in X.blocks(batches, text_col):
+            words = X.Words(block.column(text_col), X.ALNUM)
             window, first = w.occurrences(words)
             row = np.searchsorted(words.first, first, "right") - 1
-            chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
-            base = chars[words.offsets]
-            again = "spans" in block.schema.names
-            spans = block.column("spans").to_pylist() if again else [[] for _ in range(block.num_rows)]
-            items = block.column("items").to_pylist() if again else [[] for _ in range(block.num_rows)]
+            again = state in block.schema.names
+            found = block.column(state).to_pylist() if again else [{"spans": [], "items": []} for _ in range(block.num_rows)]
             order = np.argsort(row, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
                 r = int(row[at[0]])
-                old = [(s["first"] + words.first[r], s["words"]) for s in spans[r]]
-                begin = np.concatenate([first[at], np.array([x for x, _ in old], np.int64)])
-                length = np.concatenate([w.lengths[window[at]], np.array([x for _, x in old], np.int64)])
+                old = found[r]["spans"]
+                begin = np.concatenate([first[at] - words.first[r], np.array([s["first"] for s in old], np.int64)])
+                length = np.concatenate([w.lengths[window[at]], np.array([s["words"] for s in old], np.int64)])
                 a, b = _merged(begin, begin + length)
-                spans[r] = [{"start": int(chars[words.start[x]] - base[r]), "end": int(chars[words.end[y - 1]] - base[r]), "first": int(x - words.first[r]), "words": int(y - x)} for x, y in zip(a, b, strict=True)]
-                items[r] = sorted({*items[r], *(i for k in np.unique(window[at]) for i in w.items[k])})
-            text = not last or keep_text
-            cols = [block.column("row"), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols + [block.column("text")] * text, ["row", "n_words", "spans", "items"] + ["text"] * text)
+                items = sorted({*found[r]["items"], *(i for k in np.unique(window[at]) for i in w.items[k])})
+                found[r] = {"spans": [{"first": int(x), "words": int(y - x)} for x, y in zip(a, b, strict=True)], "items": items}
+            column = pa.array(found, _STATE)
+            yield block, words, column
 
     return run
 
 
+def _with(block: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    names = block.schema.names
+    return block.set_column(names.index(name), name, column) if name in names else block.append_column(name, column)
+
+
+def _passes(docs: DataFrame, blocks, n: int, text_col: str, finish, schema: T.StructType) -> DataFrame:
+    """All blocks of the benchmark against ``docs``; the last pass yields what ``finish`` makes of a batch, its words and its state."""
+    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "windows")
+    state = X.fresh(docs.columns, "found")
+    between = T.StructType([*docs.schema.fields, T.StructField(state, T._parse_datatype_string(STATE))])
+    waiting, turn = None, 0
+    for items in blocks:
+        if waiting is not None:
+            shared = spark.sparkContext.broadcast(Windows(waiting, n))
+            scan = _scan(shared, text_col, state)
+            docs = tmp.cut(docs.mapInArrow(lambda batches, scan=scan: (_with(block, state, column) for block, _, column in scan(batches)), between), f"pass-{turn}")
+            shared.destroy()
+            if turn:
+                tmp.drop(f"pass-{turn - 1}")
+            turn += 1
+        waiting = items
+    scan = _scan(spark.sparkContext.broadcast(Windows(waiting or [], n)), text_col, state)
+    return docs.mapInArrow(lambda batches: (finish(block, words, column) for block, words, column in scan(batches)), schema)
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The benchmark's items in blocks of bounded text; a block is a set of whole rows by their hash."""
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -147,15 +175,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
     A span has start and end in characters, its first word and its number of words.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_words long, spans {SPANS}, items array<string>"
-    todo = [Windows(block, n) for block in _items(benchmark, item_col, item_text, block_bytes)] or [Windows([], n)]
-    for i, w in enumerate(todo, 1):
-        last = i == len(todo)
-        docs = docs.mapInArrow(_scan(spark.sparkContext.broadcast(w), last, keep_text), schema + ", text string" * (not last or keep_text))
-    return docs
+
+    def finish(block: pa.RecordBatch, words: X.Words, found: pa.Array) -> pa.RecordBatch:
+        chars = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        base, spans, items = chars[words.offsets], [], []
+        for r, f in enumerate(found.to_pylist()):
+            ends = [(words.first[r] + s["first"], words.first[r] + s["first"] + s["words"] - 1) for s in f["spans"]]
+            spans.append([{"start": int(chars[words.start[x]] - base[r]), "end": int(chars[words.end[y]] - base[r]), **s} for (x, y), s in zip(ends, f["spans"], strict=True)])
+            items.append(f["items"])
+        cols = [block.column("row"), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(cols + [block.column("text")] * keep_text, ["row", "n_words", "spans", "items"] + ["text"] * keep_text)
+
+    schema = T._parse_datatype_string(f"row {kind}, n_words long, spans {SPANS}, items array<string>" + ", text string" * keep_text)
+    return _passes(docs, _items(benchmark, item_col, item_text, block_bytes), n, "text", finish, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -170,47 +204,32 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars and more) with every hit span taken out of the text.
+def remove(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (text, n_chars if there is one, and more) with every hit span taken out of the text, all at once.
 
     A cut leaves one space between what stood on its sides. Untouched texts
     stay as they are, null ones too; a document that had hits and keeps no
     word is left out.
     """
-    columns = docs.columns
 
-    def run(batches):
-        w: Windows = windows.value
-        for block in X.blocks(batches, "text"):
-            words = X.Words(block.column("text"), X.ALNUM)
-            window, first = w.occurrences(words)
-            row = np.searchsorted(words.first, first, "right") - 1
-            keep = np.ones(block.num_rows, bool)
-            new: dict[int, str] = {}
-            for r in np.unique(row):
-                at = row == r
-                a, b = _merged(first[at], first[at] + w.lengths[window[at]])
-                keep[r] = (b - a).sum() < words.first[r + 1] - words.first[r]
-                source = block.column("text")[int(r)].as_py().encode()
-                cuts = [(int(words.start[x] - words.offsets[r]), int(words.end[y - 1] - words.offsets[r])) for x, y in zip(a, b, strict=True)]
-                parts, last = [], 0
-                for x, y in cuts:
-                    parts.append(source[last:x])
-                    last = y
-                parts.append(source[last:])
-                new[int(r)] = b" ".join(p.strip() for p in parts if p.strip()).decode()
-            if new:
-                texts, chars = block.column("text").to_pylist(), block.column("n_chars").to_pylist()
-                for r, t in new.items():
-                    texts[r], chars[r] = t, len(t)
-                block = block.set_column(columns.index("text"), "text", pa.array(texts, block.schema.field("text").type)).set_column(columns.index("n_chars"), "n_chars", pa.array(chars, block.schema.field("n_chars").type))
-            yield block.filter(pa.array(keep))
-
-    spark, n = docs.sparkSession, options.pop("n", 8)
-    for items in _items(benchmark, "item_id", "text", options.pop("block_bytes", BLOCK_BYTES)):
-        windows = spark.sparkContext.broadcast(Windows(items, n))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def finish(block: pa.RecordBatch, words: X.Words, found: pa.Array) -> pa.RecordBatch:
+        block = block.select(columns)
+        keep, new = np.ones(block.num_rows, bool), {}
+        for r, f in enumerate(found.to_pylist()):
+            if not f["spans"]:
+                continue
+            keep[r] = sum(s["words"] for s in f["spans"]) < words.first[r + 1] - words.first[r]
+            source, parts, last = block.column("text")[r].as_py().encode(), [], 0
+            for s in f["spans"]:
+                x = words.first[r] + s["first"]
+                parts.append(source[last : int(words.start[x] - words.offsets[r])])
+                last = int(words.end[x + s["words"] - 1] - words.offsets[r])
+            parts.append(source[last:])
+            new[r] = b" ".join(p.strip() for p in parts if p.strip()).decode()
+        return X.replaced(block, new).filter(pa.array(keep))
+
+    columns = docs.columns
+    return _passes(docs, _items(benchmark, "item_id", "text", block_bytes), n, "text", finish, docs.schema)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .ngram_join import _bitmap, _slot
 from .scratch import Scratch
+from .sieve import sieve, sifted
 
 LEAST, GRAM = 50, 26
 _STEP = X.U(0xD6E8FEB86659FD93)
@@ -126,12 +126,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cand = tmp.cut(kept.join(often, "kh", "left_semi").select("id", "pos"), "cand")
     tmp.drop("often")
     ids = tmp.cut(cand.select("id").distinct(), "ids")
-    sieve = spark.sparkContext.broadcast(_bitmap(ids))
+    bits = spark.sparkContext.broadcast(sieve(ids))
 
     def maybe(batches):
-        bits = sieve.value
         for batch in batches:
-            yield batch.filter(pa.array(bits[_slot(batch.column("id").to_numpy())]))
+            yield batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy())))
 
     by_doc = cand.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     some = docs.mapInArrow(maybe, docs.schema).join(by_doc, "id")
@@ -158,7 +157,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     rows = tmp.cut(some.mapInArrow(carry, "id long, pos int, n_words int, print long, key binary"), "rows")
     tmp.drop("cand", "ids")
-    sieve.unpersist()
+    bits.destroy()
     folded = rows.groupBy("print").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.max(place).alias("last"))
     same = (F.col("first.id") == F.col("last.id")) & (F.col("first.pos") == F.col("last.pos"))
     folded = tmp.cut(folded.select("print", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), F.col("first.key").alias("key"), (~same).alias("copied")), "folded")
@@ -287,37 +286,35 @@ def _merge(batches):
 
 
 def remove(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars and more) without the removable passages; one space stands for each.
+    """``docs`` (doc_id, text, n_chars if there is one, and more) without the removable passages; one space stands for each.
 
     Untouched rows stay as they are. A document that nothing is left of goes.
     """
     found = repeats(docs, **options) if found is None else found
-    cuts = found.where("size(removable) > 0").select(F.col("id").alias("doc_id"), F.col("removable").alias("__cuts"))
     columns = docs.columns
+    name = X.fresh(columns, "removable")
+    cuts = found.where("size(removable) > 0").select(F.col("id").alias("doc_id"), F.col("removable").alias(name))
 
     def run(batches):
         for block in X.blocks(batches, "text"):
             words = X.Words(block.column("text"))
-            cut = block.column("__cuts").to_pylist()
+            cut = block.column(name).to_pylist()
             block = block.select(columns)
-            keep = np.ones(block.num_rows, bool)
-            if any(cut):
-                texts, chars = block.column("text").to_pylist(), block.column("n_chars").to_pylist()
-                for r, spans in enumerate(cut):
-                    if not spans:
-                        continue
-                    source, first, base = texts[r].encode(), int(words.first[r]), int(words.offsets[r])
-                    parts, last = [], 0
-                    for s in spans:
-                        parts.append(source[last : int(words.start[first + s["start"]]) - base].strip())
-                        last = int(words.end[first + s["start"] + s["words"] - 1]) - base
-                    parts.append(source[last:].strip())
-                    texts[r] = b" ".join(p for p in parts if p).decode()
-                    chars[r], keep[r] = len(texts[r]), bool(texts[r])
-                block = block.set_column(columns.index("text"), "text", pa.array(texts, block.schema.field("text").type)).set_column(columns.index("n_chars"), "n_chars", pa.array(chars, block.schema.field("n_chars").type))
-            yield block.filter(pa.array(keep))
-
-    return docs.join(cuts, "doc_id", "left").select(*columns, "__cuts").mapInArrow(run, docs.schema)
+            keep, new = np.ones(block.num_rows, bool), {}
+            for r, spans in enumerate(cut):
+                if not spans:
+                    continue
+                source, first, base = block.column("text")[r].as_py().encode(), int(words.first[r]), int(words.offsets[r])
+                parts, last = [], 0
+                for s in spans:
+                    parts.append(source[last : int(words.start[first + s["start"]]) - base].strip())
+                    last = int(words.end[first + s["start"] + s["words"] - 1]) - base
+                parts.append(source[last:].strip())
+                new[r] = b" ".join(p for p in parts if p).decode()
+                keep[r] = bool(new[r])
+            yield X.replaced(block, new).filter(pa.array(keep))
+
+    return docs.join(cuts, "doc_id", "left").select(*(F.col(f"`{c}`") for c in columns), name).mapInArrow(run, docs.schema)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ any two words of a ten-million-word vocabulary colliding below one in 10^5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,21 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it unlike every column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the system: workers live on from task to task and stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``size`` bytes of text, or one row."""
     for batch in batches:
@@ -88,6 +105,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYT
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    if not isinstance(batches, list):  # the end of a task
+        release()
+
+
+def replaced(block: pa.RecordBatch, texts: dict[int, str], column: str = "text", length: str = "n_chars") -> pa.RecordBatch:
+    """The block with new texts for some rows, and their lengths in characters where it has such a column."""
+    if not texts:
+        return block
+    for name, of in ((column, str), (length, len)):
+        if name in block.schema.names:
+            values = block.column(name).to_pylist()
+            for r, t in texts.items():
+                values[r] = of(t)
+            block = block.set_column(block.schema.names.index(name), name, pa.array(values, block.schema.field(name).type))
+    return block
 
 
 class Words:
