@@ -41,8 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a group about, and rows of the table of large hosts at most.
-GROUP, BUCKETS = 48, 1 << 16
+from .scratch import Scratch
+
+#: Pages of a group about.
+GROUP = 48
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -51,7 +53,7 @@ _RAW = frozenset("script style textarea title template noscript iframe svg math
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("head nav header footer aside form script style noscript template iframe svg math button select textarea input dialog menu title object canvas audio video".split())
 _NEVER_NAME = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar\w*|aside|ads?|adv|adverts?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|comments?|commentlist|disqus|replies|responses|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|widget\w*|skip|toolbar|tags|toc|search)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar\w*|aside|ads?|adv|adverts?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|comments?|commentlist|disqus|replies|responses|breadcrumbs?|pagination|pager|share|sharing|social|related(?:[-_](?:posts?|articles?|links?|stories|content|items?|pages?|reading|news|topics?))?(?=$|\s)|recommended|widget\w*|skip|toolbar|tags|toc|search)(?:$|[-_\s])",
     re.I,
 )
 _NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -127,8 +129,10 @@ class Page:
                     values[a[1].lower()] = a[2] or a[3] or a[4] or ""
                 names = " ".join(values.get("class", "").split())
                 label = f"{names} {values.get('id', '')}"
-                bare = name in ("html", "body", "article", "main")
-                if not bare and (_NEVER_NAME.search(label) or values.get("role", "").lower() in _NEVER_ROLE or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", ""))):
+                # A whole page or article may be named after what it holds beside the text ("with-sidebar"), an article alone after what it is.
+                bare, whole = name in ("html", "body"), name in ("article", "main")
+                never = any(_NEVER_NAME.fullmatch(x) for x in label.split()) if whole else _NEVER_NAME.search(label)
+                if not bare and (never or values.get("role", "").lower() in _NEVER_ROLE or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", ""))):
                     r = -1
             if name in _NEVER and not (name == "header" and r == 2):
                 r = -1
@@ -256,13 +260,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
-    # A host of many pages is dealt to groups of about ``group``. Their number comes from a table of fixed
-    # size, by a hash of the host, so pages move once and never by host alone.
-    bucket = F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    # A host of many pages is dealt to groups of about ``group``. Their numbers are written first, so that
+    # Spark knows their size: it broadcasts them where they are few, and joins by host, which it may split, where not.
     large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
-    large = large.groupBy(bucket).agg(F.ceil(F.max("n") / F.lit(group)).cast("int").alias("groups"))
-    dealt = rows.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", "left")  # at most a row a bucket
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int")).drop("bucket", "groups")
+    large = Scratch(pages.sparkSession, "hosts").cut(large.select("host", F.ceil(F.col("n") / F.lit(group)).cast("int").alias("groups")), "large")
+    dealt = rows.join(large, "host", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in ("page_id", "url"))
 
     def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
