@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, each distinct piece of text encoded once a worker.
+"""Token ids by the tokenizers library, each distinct piece of text encoded once a task.
 
 A text is cut where every supported pre-tokenizer cuts it too: before a single
 space between visible characters, and where letters, digits and ASCII marks
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -21,8 +23,8 @@ from . import text as X
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces kept by a worker; beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Distinct pieces kept during a task; beyond it the cache starts anew.
+CACHE = 500_000
 
 _SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
 _CLASS = np.zeros(256, np.uint8)
@@ -208,3 +210,14 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The encoder for one task; what it has kept goes with it, so that later stages have the memory."""
+    found = encoder(path)
+    try:
+        yield found
+    finally:
+        found._clear()
+        X.release()

@@ -14,6 +14,7 @@ being the shorter one; nothing is dropped.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import encoder, tokenizer_path
+from .encode import encoding, tokenizer_path
 from .scratch import Scratch
 
-#: Pieces a partition holds about, and exchanges run at most.
-PARTITION, EXCHANGES = 4096, 4
+#: Pieces a partition holds about.
+PARTITION = 4096
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -79,20 +80,23 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for block in X.blocks(batches, "text"):
-            ids, first = encoder(path).encode(block.column("text"))
-            row, piece, start, length, crc = [], [], [], [], []
-            for i in range(block.num_rows):
-                own = np.append(ids[first[i] : first[i + 1]], end).astype("<u4")
-                at = 0
-                for k, stop in enumerate(range((len(own) - 1) % capacity + 1, len(own) + 1, capacity)):
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(stop - at)
-                    crc.append(zlib.crc32(own[at:stop].tobytes()))
-                    at = stop
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with encoding(path) as e:
+            for block in X.blocks(batches, "text"):
+                yield cut(block, *e.encode(block.column("text")))
+
+    def cut(block: pa.RecordBatch, ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        row, piece, start, length, crc = [], [], [], [], []
+        for i in range(block.num_rows):
+            own = np.append(ids[first[i] : first[i + 1]], end).astype("<u4")
+            at = 0
+            for k, stop in enumerate(range((len(own) - 1) % capacity + 1, len(own) + 1, capacity)):
+                row.append(i)
+                piece.append(k)
+                start.append(at)
+                length.append(stop - at)
+                crc.append(zlib.crc32(own[at:stop].tobytes()))
+                at = stop
+        return pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -126,14 +130,14 @@ def pack(rows: DataFrame, capacity: int = 1024, partition: int = PARTITION) -> D
     schema = f"{fields}, part long, bin long, offset long, full boolean, gap long"
 
     def packed(df: DataFrame, parts: int, turn: int) -> DataFrame:
-        dealt = df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(parts)) + turn * (1 << 24))
+        dealt = df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)) + turn * (1 << 24))
         return dealt.groupBy("part").applyInArrow(_packer(capacity), schema)
 
     state = tmp.cut(packed(rows, parts, 0), "packed-0")
     tmp.drop("pieces")
     keep = None
     bins = lambda df: df.select("part", "bin").distinct().count()
-    for turn in range(1, EXCHANGES + 1):
+    for turn in itertools.count(1):
         loose = state.where("gap > 0 and not full")
         count = loose.count()
         if not count:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import Encoder, cuts, encoder, tokenizer_path
+from .encode import Encoder, cuts, encoding, tokenizer_path
 
 #: Pieces of a leaf; a tree whose leaf outgrows this many times that is built anew.
 LEAF, GROWTH = 8, 16
@@ -194,20 +194,23 @@ def count_edited(docs: DataFrame, path: str, edits: str = "edits", *, id_col: st
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path)
-        for block in X.blocks(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
-            for tree, changes in zip(TokenTree.of(enc, block.column("text")), block.column("edits").to_pylist(), strict=True):
-                out[0].append(tree.tokens)
-                tree.encoded = 0
-                changes = changes or []
-                for c in changes:
-                    if c is not None:
-                        tree.edit(c["start"] or 0, c["stop"] or 0, c["new"] or "")
-                for x, v in zip(out[1:], (len(changes), tree.tokens, tree.chars, tree.encoded, tree.text() if keep_text else ""), strict=True):
-                    x.append(v)
-            cols = [block.column("id"), *(pa.array(x, pa.int64()) for x in out[:5])] + [pa.array(out[5], pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_bytes_encoded"] + ["edited"] * keep_text)
+        with encoding(path) as enc:
+            for block in X.blocks(batches, "text"):
+                yield counted(enc, block)
+
+    def counted(enc: Encoder, block: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(6)]
+        for tree, changes in zip(TokenTree.of(enc, block.column("text")), block.column("edits").to_pylist(), strict=True):
+            out[0].append(tree.tokens)
+            tree.encoded = 0
+            changes = changes or []
+            for c in changes:
+                if c is not None:
+                    tree.edit(c["start"] or 0, c["stop"] or 0, c["new"] or "")
+            for x, v in zip(out[1:], (len(changes), tree.tokens, tree.chars, tree.encoded, tree.text() if keep_text else ""), strict=True):
+                x.append(v)
+        cols = [block.column("id"), *(pa.array(x, pa.int64()) for x in out[:5])] + [pa.array(out[5], pa.string())] * keep_text
+        return pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_bytes_encoded"] + ["edited"] * keep_text)
 
     return docs.mapInArrow(run, f"id {kind}, n_tokens long, n_edits long, n_tokens_edited long, n_chars_edited long, n_bytes_encoded long" + ", edited string" * keep_text)
 

@@ -13,8 +13,9 @@ All numbers are little-endian. Files are written under a name of the attempt
 and renamed, so a task that runs again leaves one file.
 
 Nulls: a null text is an empty one; a null id is written as the least 64-bit
-integer, comes first and is read back as null. Repeated ids stay in order of
-their texts. Empty tables give no files and an empty result. Other columns are
+integer, comes first and is read back as null. Repeated ids are in order of a
+hash of their texts and may be spread over shards. Texts of any length are one
+frame each. A vocabulary of more ids than fit two bytes takes four. Empty tables give no files and an empty result. Other columns are
 ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import encoder, tokenizer_path
+from .encode import Encoder, encoding, tokenizer_path
 from .scratch import shared_dir
 
 MAGIC = b"LSIDS01\n"
@@ -59,6 +60,13 @@ def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
         return b""
 
 
+def id_width(path: str) -> int:
+    """Bytes that hold any id of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values(), default=0) < 1 << 16 else 4
+
+
 class Codec:
     def __init__(self, dictionary: bytes, width: int = 2, level: int = 3):
         self.hash, self.width = hashlib.sha256(dictionary).digest(), width
@@ -66,6 +74,11 @@ class Codec:
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True, **data).compress
         self.unpack = zstandard.ZstdDecompressor(**data).decompress
 
+    @classmethod
+    def of(cls, dictionary: bytes, shard: bytes) -> Codec:
+        """The codec of a shard, by its width."""
+        return cls(dictionary, HEAD.unpack_from(shard)[2])
+
     def write(self, rows: list[tuple[int | None, np.ndarray]]) -> bytes:
         frames = [self.pack(ids.astype(f"<u{self.width}").tobytes()) for _, ids in rows]
         tokens = np.array([len(ids) for _, ids in rows], "<u4")
@@ -93,21 +106,22 @@ class Codec:
         return np.frombuffer(self.unpack(data[base + int(offsets[i]) : base + int(offsets[i + 1])]), f"<u{self.width}").astype(np.uint32)
 
 
-def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 1, width: int = 2) -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 1) -> list[tuple[str, int, int]]:
     """Write ``docs`` as shards under ``out``; returns (file, documents, tokens) in order of the ids."""
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, id_width(path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
 
-    def ids(block):
-        flat, first = encoder(path).encode(block.column("text"))
+    def ids(e: Encoder, block: pa.RecordBatch):
+        flat, first = e.encode(block.column("text"))
         for a, b in zip(first[:-1], first[1:], strict=True):
             yield np.append(flat[a:b], end).astype(np.uint32)
 
     def sample(batches):
-        for block in X.blocks(batches, "text"):
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([x.astype(f"<u{width}").tobytes() for x in ids(block)], pa.binary())})
+        with encoding(path) as e:
+            for block in X.blocks(batches, "text"):
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([x.astype(f"<u{width}").tobytes() for x in ids(e, block)], pa.binary())})
 
     found = docs.where(chance).limit(2 * SAMPLE).mapInArrow(sample, "ids binary").collect()
     dictionary = train(sorted(bytes(r[0]) for r in found))
@@ -118,8 +132,9 @@ def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_
 
     def save(batches):
         codec, rows = Codec(dictionary, width), []
-        for block in X.blocks(batches, "text"):
-            rows += zip(block.column("doc_id").to_pylist(), ids(block), strict=True)
+        with encoding(path) as e:
+            for block in X.blocks(batches, "text"):
+                rows += zip(block.column("doc_id").to_pylist(), ((x.astype(f"<u{width}")) for x in ids(e, block)), strict=True)
         if not rows:
             return
         part = TaskContext.get().partitionId()
@@ -134,11 +149,12 @@ def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(len(x) for _, x in rows)], pa.int64())})
 
     parts = max(1, -(-int(size or 0) // SHARD_BYTES))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    spread = F.xxhash64("text")
+    ordered = docs.repartitionByRange(parts, "doc_id", spread).sortWithinPartitions("doc_id", spread, "text")
     return [(r["name"], r["docs"], r["tokens"]) for r in sorted(ordered.mapInArrow(save, "part int, name string, docs long, tokens long").collect())]
 
 
-def read(spark: SparkSession, out: str, manifest: list[tuple[str, int, int]], *, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, out: str, manifest: list[tuple[str, int, int]]) -> DataFrame:
     """The documents of the shards: doc_id, start (ids of all before it), n_tokens, ids_crc32, ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     if not manifest:
@@ -150,15 +166,16 @@ def read(spark: SparkSession, out: str, manifest: list[tuple[str, int, int]], *,
     def run(batches):
         fs, at = _open(out)
         with fs.open_input_stream(f"{at}/dictionary") as f:
-            codec = Codec(f.read(), width)
+            dictionary = f.read()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_buffer().to_pybytes()
+                codec = Codec.of(dictionary, data)
                 keys, tokens, offsets, begin = codec.index(data)
                 before = np.cumsum(tokens.astype(np.int64)) - tokens + base[path.rsplit("/", 1)[-1]]
                 step = 4096
                 for i in range(0, len(keys), step):
-                    ids = [np.frombuffer(codec.unpack(data[begin + int(a) : begin + int(b)]), f"<u{width}").astype("<u4").tobytes() for a, b in zip(offsets[i : i + step], offsets[i + 1 : i + step + 1], strict=False)]
+                    ids = [np.frombuffer(codec.unpack(data[begin + int(a) : begin + int(b)]), f"<u{codec.width}").astype("<u4").tobytes() for a, b in zip(offsets[i : i + step], offsets[i + 1 : i + step + 1], strict=False)]
                     if [len(x) // 4 for x in ids] != tokens[i : i + step].tolist():
                         raise ValueError(f"{path}: token counts differ from the index")
                     key = pa.array(keys[i : i + step], mask=keys[i : i + step] == NULL_ID)
@@ -172,5 +189,4 @@ def op10_token_output(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` written as token ids and read back from the files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    manifest = write(docs, tokenizer_path("word_bpe_49k.json"), out)
-    return read(spark, out, manifest).drop("ids")
+    return read(spark, out, write(docs, tokenizer_path("word_bpe_49k.json"), out)).drop("ids")
