@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from . import oracle
 from .class_lm import op3_class_lm
 from .decontaminate import op4_decontaminate
 from .embedding_dedup import op8_embedding_dedup
@@ -13,4 +14,4 @@ from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_class_lm, op4_decontaminate, op5_html_extract, op6_suffix_dedup, op7_ngram_join, op8_embedding_dedup, op9_best_fit_packing, op10_token_output)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": oracle.DECONTAMINATE, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_embedding_dedup": oracle.EMBEDDING_DEDUP}
