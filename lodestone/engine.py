@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import count
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import InvalidArgument, NotFound, Unavailable
-from .functions.values import problems
+from .functions.values import problems, wrapped_text
 from .operators import governance, lifecycle, spatial
 from .operators import kv as kv_ops
 from .operators import text as text_ops
@@ -17,7 +17,9 @@ from .plans import lower
 from .plans import tree as t
 from .plans.parse import parse
 from .sources.catalog import INVERTED, KV, SPATIAL, Catalog, IndexDef
-from .sources.log import MutationLog
+from .sources.commits import Decisions
+from .sources.indexes import SpatialIndex, TextIndex
+from .sources.log import MUTATION, MutationLog
 
 CHANGE = "key string, value string, op string"
 
@@ -32,51 +34,76 @@ class Result:
 
 @dataclass
 class Txn:
-    """A batch of changes that commits as one append, or not at all."""
+    """Changes of one index or several that all commit, or none.
+
+    ``prepare`` writes them to each index as pending rows, which count once the
+    transaction is decided; deciding is one file. A key that was written since
+    the transaction began, or is pending elsewhere, aborts it.
+    """
 
     engine: Engine
-    index: str
+    indexes: tuple[str, ...]
     txn_id: int
     state: str = "RUNNING"
-    ops: list[tuple[str, str | None, str]] = field(default_factory=list)
-    seen_lsn: int = 0
+    ops: list[tuple[str, str, str | None, str]] = field(default_factory=list)
+    seen: dict[str, int] = field(default_factory=dict)
 
-    def put(self, key: str, value: str) -> None:
-        self._add(key, value, "PUT")
+    def put(self, key: str, value: str, index: str | None = None) -> None:
+        self._add(index, key, value, "PUT")
 
-    def delete(self, key: str) -> None:
-        self._add(key, None, "DELETE")
+    def delete(self, key: str, index: str | None = None) -> None:
+        self._add(index, key, None, "DELETE")
 
-    def _add(self, key: str, value: str | None, op: str) -> None:
+    def _add(self, index: str | None, key: str, value: str | None, op: str) -> None:
         if self.state != "RUNNING":
             raise InvalidArgument(f"the transaction is {self.state}")
-        self.ops.append((key, value, op))
+        index = index or self.indexes[0]
+        if index not in self.indexes:
+            raise InvalidArgument(f"the transaction was not begun on {index}")
+        self.ops.append((index, key, value, op))
 
     def prepare(self) -> None:
-        """Optimistic check: nobody has written the keys since the transaction began."""
+        """Optimistic check of every index, then its pending rows."""
         if self.state != "RUNNING":
             raise InvalidArgument(f"the transaction is {self.state}")
-        log = self.engine.log(self.index).read()
-        keys = [k for k, _, _ in self.ops]
-        if keys and not log.where((F.col("lsn") > self.seen_lsn) & F.col("key").isin(keys)).isEmpty():
-            self.state = "ABORTED"
-            raise Unavailable("a key was written meanwhile")
+        try:
+            for index in self.indexes:
+                last = {k: (k, v, o) for i, k, v, o in self.ops if i == index}
+                if last:
+                    self.engine._append(index, list(last.values()), self.txn_id, lambda lsn, index=index: self._unwritten(index, list(last)), pending=True)
+        except Exception:
+            self.abort()
+            raise
         self.state = "PREPARED"
 
+    def _unwritten(self, index: str, keys: list[str]) -> None:
+        log = self.engine.log(index)
+        mine = F.col("key").isin(keys)
+        if log.last_lsn() > self.seen[index] and not log.read(self.seen[index]).where((F.col("lsn") > self.seen[index]) & mine).isEmpty():
+            raise Unavailable("a key was written meanwhile")
+        waiting = [c for c in log.in_doubt() if c.txn != self.txn_id]
+        if waiting and not log.read_commits(waiting, MUTATION).where(mine).isEmpty():
+            raise Unavailable("a key is part of a transaction that isn't decided")
+
     def commit(self) -> str:
         if self.state == "RUNNING":
             self.prepare()
         if self.state != "PREPARED":
             raise InvalidArgument(f"the transaction is {self.state}")
-        last = {k: (k, v, o) for k, v, o in self.ops}
-        self.engine._append(self.index, list(last.values()), self.txn_id)
-        self.state = "COMMITTED"
+        self.state = self.engine.decisions.decide(self.txn_id, "COMMITTED") if self.ops else "COMMITTED"
+        for index in self.indexes:
+            self.engine._refresh(index)
+        if self.state != "COMMITTED":
+            raise Unavailable("the transaction was aborted meanwhile")
         return self.state
 
     def abort(self) -> str:
-        """Nothing was written, so nothing is undone; aborting again is harmless."""
+        """Pending rows never count; aborting again is harmless."""
         if self.state == "COMMITTED":
             raise InvalidArgument("the transaction is COMMITTED")
+        if self.ops and self.engine.decisions.decide(self.txn_id, "ABORTED") == "COMMITTED":
+            self.state = "COMMITTED"
+            raise InvalidArgument("the transaction is COMMITTED")
         self.state, self.ops = "ABORTED", []
         return self.state
 
@@ -87,15 +114,29 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, options: lower.Options = lower.Options(), role: str | None = None, slow_s: float = 1.0):
         self.spark, self.path, self.options, self.role = spark, path.rstrip("/"), options, role
         self.catalog, self.slow = Catalog(), governance.SlowLog(slow_s)
+        self.decisions = Decisions(spark, f"{self.path}/_transactions")
         self._logs: dict[str, MutationLog] = {}
-        self._ids = count(1)
+        self._texts: dict[str, TextIndex] = {}
+        self._rects: dict[str, SpatialIndex] = {}
 
     # Indexes
 
     def create(self, name: str) -> None:
         """A key-value index kept in a log."""
         governance.require(self.role, "admin")
-        self._logs[name] = MutationLog(self.spark, f"{self.path}/{name}")
+        self._logs[name] = MutationLog(self.spark, f"{self.path}/{name}", self.decisions)
+        self._refresh(name)
+
+    def create_text(self, name: str) -> None:
+        """A text index kept on disk; opened again where there is one."""
+        governance.require(self.role, "admin")
+        self._texts[name] = TextIndex(self.spark, f"{self.path}/{name}")
+        self._refresh(name)
+
+    def create_spatial(self, name: str) -> None:
+        """A rectangle index kept on disk; opened again where there is one."""
+        governance.require(self.role, "admin")
+        self._rects[name] = SpatialIndex(self.spark, f"{self.path}/{name}")
         self._refresh(name)
 
     def register(self, index: IndexDef) -> IndexDef:
@@ -111,7 +152,13 @@ class Engine:
         return self._logs[name]
 
     def _refresh(self, name: str) -> None:
-        self.catalog.add(IndexDef(name, KV, self._logs[name].view()), replace=True)
+        if name in self._texts:
+            new = IndexDef(name, INVERTED, self._texts[name].rows(), self._texts[name].postings())
+        elif name in self._rects:
+            new = IndexDef(name, SPATIAL, self._rects[name].rows())
+        else:
+            new = IndexDef(name, KV, self._logs[name].view())
+        self.catalog.add(new, replace=True)
 
     def table(self, name: str) -> DataFrame:
         return self.catalog.get(name).rows
@@ -130,10 +177,7 @@ class Engine:
             self._only_kv(s.index)
             self.put(s.index, s.key, s.value)
             return Result(rows_affected=1)
-        changes = lower.changes(self.catalog, s, self.options)
-        n = self.log(s.index).append(changes)
-        self._refresh(s.index)
-        return Result(rows_affected=n)
+        return Result(rows_affected=self._append(s.index, lower.changes(self.catalog, s, self.options)))
 
     def _only_kv(self, name: str) -> None:
         if self.catalog.get(name).kind != KV:
@@ -141,15 +185,33 @@ class Engine:
 
     # Key-value calls
 
-    def _append(self, index: str, rows: list[tuple], txn_id: int = 0) -> int:
-        changes = self.spark.createDataFrame(rows, CHANGE) if rows else self.spark.createDataFrame([], CHANGE)
+    def _append(self, index: str, rows: list[tuple] | DataFrame, txn_id: int = 0, check=None, pending: bool = False) -> int:
+        changes = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, CHANGE)
         bad = changes.select(F.explode(problems(F.col("key"), F.col("value")))).first()
         if bad:
             raise InvalidArgument(bad[0])
-        n = self.log(index).append(changes, txn_id)
+        n = self.log(index).append(changes, txn_id, check, pending)
+        if not pending:
+            self._index_texts(index, changes)
         self._refresh(index)
         return n
 
+    def _index_texts(self, index: str, changes: DataFrame) -> None:
+        """Values written as NAME.TEXT(...) are searched under the index's name with ``.text``."""
+        name = f"{index}.text"
+        texts = changes.withColumn("text", wrapped_text(F.col("value")))
+        new = texts.where("op = 'PUT' and text is not null").select("key", F.col("text").alias("value"))
+        if name not in self._texts:
+            if new.isEmpty():
+                return
+            self._texts[name] = TextIndex(self.spark, f"{self.path}/{name}")
+        old = texts.where("op = 'DELETE' or text is null").select("key").join(self._texts[name].rows(), "key", "left_semi")
+        if not old.isEmpty():
+            self._texts[name].remove(old)
+        if not new.isEmpty():
+            self._texts[name].put(new)
+        self._refresh(name)
+
     def put(self, index: str, key: str, value: str) -> None:
         governance.require(self.role, "write")
         self._append(index, [(key, value, "PUT")])
@@ -176,9 +238,7 @@ class Engine:
     def bulk_put(self, index: str, rows: list[tuple[str, str]] | DataFrame) -> int:
         governance.require(self.role, "bulk")
         if isinstance(rows, DataFrame):
-            n = self.log(index).append(rows.select("key", "value", F.lit("PUT").alias("op")))
-            self._refresh(index)
-            return n
+            return self._append(index, rows.select("key", "value", F.lit("PUT").alias("op")))
         kv_ops.check_bulk(len(rows))
         return self._append(index, [(k, v, "PUT") for k, v in rows])
 
@@ -189,9 +249,7 @@ class Engine:
             kv_ops.check_bulk(len(keys))
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
         gone = kv_ops.fetch(self.table(index), keys).select("key", F.lit(None).cast("string").alias("value"), F.lit("DELETE").alias("op"))
-        n = self.log(index).append(gone)
-        self._refresh(index)
-        return n
+        return self._append(index, gone)
 
     def range_aggregates(self, index: str, start: str, end: str) -> DataFrame:
         governance.require(self.role, "read")
@@ -216,6 +274,10 @@ class Engine:
     def add_documents(self, index: str, docs: DataFrame) -> None:
         """Add (key, value) texts; those of a key there is already replace it."""
         governance.require(self.role, "write")
+        if index in self._texts:
+            self._texts[index].put(docs)
+            self._refresh(index)
+            return
         try:
             old = self.catalog.get(index)
         except NotFound:
@@ -229,20 +291,29 @@ class Engine:
         """Add (id, min_x, min_y, max_x, max_y, value)."""
         governance.require(self.role, "write")
         new = rects.select(F.col("id").cast("string").alias("key"), "value" if "value" in rects.columns else F.lit(None).cast("string").alias("value"), "min_x", "min_y", "max_x", "max_y")
+        if index in self._rects:
+            self._rects[index].put(new)
+            self._refresh(index)
+            return
         rows = new if index not in self.catalog.names() else self.catalog.get(index).rows.unionByName(new)
         self.catalog.add(IndexDef(index, SPATIAL, rows), replace=True)
 
     def delete_spatial(self, index: str, gone: DataFrame) -> None:
         """Remove rows of exactly these ids and rectangles."""
         governance.require(self.role, "delete")
+        if index in self._rects:
+            self._rects[index].remove(gone.withColumnRenamed("id", "key"))
+            self._refresh(index)
+            return
         rows = spatial.delete(self.catalog.get(index).rows.withColumnRenamed("key", "id"), gone).withColumnRenamed("id", "key")
         self.catalog.add(IndexDef(index, SPATIAL, rows.select("key", "value", "min_x", "min_y", "max_x", "max_y")), replace=True)
 
     # Transactions, snapshots, upkeep
 
-    def begin(self, index: str) -> Txn:
+    def begin(self, *indexes: str) -> Txn:
+        """A transaction on one index or several."""
         governance.require(self.role, "write")
-        return Txn(self, index, next(self._ids), seen_lsn=self.log(index).last_lsn())
+        return Txn(self, indexes, uuid4().int >> 66 or 1, seen={i: self.log(i).last_lsn() for i in indexes})
 
     def snapshot(self, index: str, path: str) -> DataFrame:
         log = self.log(index)
@@ -252,12 +323,12 @@ class Engine:
         """Bring an index back from a snapshot; returns its LSN."""
         governance.require(self.role, "admin")
         rows, lsn = lifecycle.restore(self.spark, path, index)
-        target = f"{self.path}/{index}-{lsn}"
-        rows.write.mode("overwrite").parquet(f"{target}/log")
-        self._logs[index] = MutationLog(self.spark, target)
+        if index not in self._logs:
+            self._logs[index] = MutationLog(self.spark, f"{self.path}/{index}", self.decisions)
+        self._logs[index].load(rows, lsn)
         self._refresh(index)
         return lsn
 
     def compact(self, index: str) -> None:
-        self.log(index).compact()
+        (self._texts.get(index) or self._rects.get(index) or self.log(index)).compact()
         self._refresh(index)

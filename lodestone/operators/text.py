@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.indexes import bucket_of
 
 
 def postings(docs: DataFrame, key: str = "key", text: str = "value", unique: bool = False) -> DataFrame:
@@ -53,6 +54,8 @@ def matching_keys(pairs: DataFrame, query: str) -> DataFrame:
     found = query_terms(query)
     if not found:
         return pairs.select("doc_key").limit(0)
+    if "bucket" in pairs.columns:  # folders of a stored index
+        pairs = pairs.where(F.col("bucket").isin(*sorted({bucket_of(t) for t in found})))
     return pairs.where(F.col("term").isin(*found)).select("doc_key").distinct()
 
 
@@ -60,12 +63,3 @@ def search(pairs: DataFrame, query: str, limit: int | None = 1000) -> DataFrame:
     """(key, score) in order of the key; the score is 1."""
     hits = matching_keys(pairs, query).select(F.col("doc_key").alias("key"), F.lit(1.0).alias("score"))
     return hits.orderBy("key") if limit is None else hits.orderBy("key").limit(limit)
-
-
-def ranked(pairs_tf: DataFrame, query: str, documents: int) -> DataFrame:
-    """(key, score) by TF-IDF from (term, doc_key, tf); beyond the constant score."""
-    found = query_terms(query)
-    own = pairs_tf.where(F.col("term").isin(*found)) if found else pairs_tf.limit(0)
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    scored = own.join(F.broadcast(df), "term")  # a row a query term
-    return scored.groupBy(F.col("doc_key").alias("key")).agg(F.sum(F.col("tf") * F.log(F.lit(documents + 1.0) / (F.col("df") + 1))).alias("score"))

@@ -344,14 +344,8 @@ def wal_segments(spark, d):
     return wal.segments(_stream(spark, d))
 
 
-@query(f"SELECT q.lsn, s.segment_id FROM (SELECT (event_id * 13) % 12000 AS lsn FROM events WHERE event_id < 900) q ASOF LEFT JOIN {SEGMENTS_SQL} s ON q.lsn >= s.start_lsn")
-def wal_segment_asof(spark, d):
-    asked = _read(spark, d, "events").where("event_id < 900").select((F.col("event_id") * 13 % 12000).alias("lsn"))
-    return wal.segment_of(asked, wal.segments(_stream(spark, d)))
-
-
 @query(f"SELECT q.event_id, q.lsn, s.segment_id FROM (SELECT event_id, (event_id * 13) % (SELECT max(event_id) + 2001 FROM events) AS lsn FROM events) q ASOF LEFT JOIN {SEGMENTS_SQL} s ON q.lsn >= s.start_lsn")
-def wal_segment_asof_all(spark, d):
+def wal_segment_asof(spark, d):
     """Every event asks, for LSNs over the whole log, before its first segment and beyond its last one."""
     events = _read(spark, d, "events").select("event_id")
     end = F.broadcast(events.agg((F.max("event_id") + 2001).alias("end")))
@@ -376,7 +370,7 @@ def wal_slot_lag(spark, d):
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS lsn FROM events")
 def wal_lsn_numbering(spark, d):
     rows = _read(spark, d, "events").select("event_id", "ts")
-    return logs.numbered(rows, "ts", "event_id", bucket=F.date_trunc("day", "ts")).select("event_id", F.col("lsn").cast("long").alias("lsn"))
+    return logs.numbered(rows, "ts", "event_id").select("event_id", F.col("lsn").cast("long").alias("lsn"))
 
 
 @query("SELECT event_id, event_id + 1 AS lsn FROM events WHERE event_id + 1 >= 9500")

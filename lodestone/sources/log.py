@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .commits import CommitLog
+
 #: Columns of a mutation. txn_id 0 commits by itself.
 MUTATION = T.StructType(
     [
@@ -19,14 +21,6 @@ MUTATION = T.StructType(
     ]
 )
 
-#: Columns of a change-stream record, as DDL.
-RECORD = "lsn long, type string, index_type string, ts timestamp, txn_id long, page_id long, data binary, prev_lsn long, segment_id long"
-
-# Record types in the order of their numbers from 1, and log types.
-RECORD_TYPES = ("Update", "InsertKey", "DeleteKey", "NodeSplit", "NodeMerge", "NewPage", "FreePage", "CheckpointStart", "CheckpointEnd", "RTreeInsert", "RTreeSplit", "RTreeNewRoot", "RTreeUpdate", "Prepare", "CommitTxn", "AbortTxn", "RootChange", "RTreeDelete", "NoOp")
-LOG_TYPES = ("Btree", "InvertedIndex", "Spatial")
-
-
 def latest(log: DataFrame, *also: str) -> DataFrame:
     """The last version of each key, tombstones included: a map-side maximum and one shuffle by key."""
     rest = [c for c in ("value", "op", "txn_id", *also) if c in log.columns]
@@ -50,62 +44,53 @@ def caught_up(snapshot: DataFrame, log: DataFrame, snapshot_lsn: int) -> DataFra
     return live(base.unionByName(log.where(F.col("lsn") > snapshot_lsn).select("key", "value", "op", "lsn", "txn_id")))
 
 
-def numbered(rows: DataFrame, *order: str, bucket: Column, base: int = 0, name: str = "lsn") -> DataFrame:
+def numbered(rows: DataFrame, *order: str, base: int = 0, name: str = "lsn") -> DataFrame:
     """Consecutive numbers from base + 1 in the order given, without sorting everything in one place.
 
-    ``bucket`` is a coarse, order-preserving key of the rows (a day of a time,
-    say). Rows are numbered inside their bucket and moved by the rows of the
-    buckets before, of which there is one count each.
+    Rows are dealt to ranges of about equal size and sorted there; each is its
+    range's count before it plus its place. Ranges come from a sample of the
+    rows, so neither many keys nor a long common prefix of them matter; rows
+    equal in all of ``order`` share a range.
     """
     from pyspark.sql import Window
 
-    rows = rows.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return rows.join(offsets, "__bucket").withColumn(name, own + F.col("__before") + F.lit(base).cast("long")).drop("__bucket", "__before")
+    own, part, n = "__place", "__range", "__before"
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The ids are consecutive within a partition and hold its number in their upper bits.
+    dealt = dealt.withColumn(own, F.monotonically_increasing_id())
+    dealt = dealt.withColumn(part, F.shiftright(own, 33)).withColumn(own, F.col(own).bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = dealt.groupBy(part).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
+    return dealt.join(F.broadcast(offsets), part).withColumn(name, F.col(own) + F.col(n) + F.lit(base + 1).cast("long")).drop(own, part, n)
 
 
-class MutationLog:
-    """An append-only log of Parquet files; ``compact`` folds it into a snapshot in a new directory."""
+class MutationLog(CommitLog):
+    """An append-only log of mutations. LSNs only grow, through ``compact`` and ``load`` as well."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self) -> str:
-        return f"{self.path}/generation"
-
-    def _generation(self) -> str:
-        try:
-            found = self.spark.read.text(self._pointer()).orderBy(F.desc("value")).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            found = None
-        return found["value"].split("-", 1)[1] if found else "log"
-
-    def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MUTATION).parquet(f"{self.path}/{self._generation()}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], MUTATION)
+    def read(self, after: int = 0) -> DataFrame:
+        """The rows that count; with ``after``, at least those of later LSNs."""
+        return self.table(MUTATION, after=after)
 
-    def last_lsn(self) -> int:
-        return self.read().agg(F.max("lsn")).first()[0] or 0
+    def append(self, changes: DataFrame, txn_id: int = 0, check: Callable[[int], None] | None = None, pending: bool = False) -> int:
+        """Append (key, value, op); returns how many. All of a call appear together, or none.
 
-    def append(self, changes: DataFrame, txn_id: int = 0) -> int:
-        """Append (key, value, op); returns how many. All of a call appear together, or none."""
+        ``check`` is called with the LSN that the rows follow, before each try to commit; what it raises ends the
+        append. A ``pending`` append counts once its transaction is decided.
+        """
         changes = changes.select("key", "value", "op").persist()
         try:
             n = changes.count()
+
+            def make(folder: Callable[..., str], base: int) -> int:
+                if check:
+                    check(base)
+                rows = numbered(changes, "key", "op", base=base).withColumn("txn_id", F.lit(txn_id).cast("long"))
+                rows.select(MUTATION.fieldNames()).write.parquet(folder())
+                return base + n
+
             if n:
-                base = self.last_lsn()
-                rows = numbered(changes, "key", "op", bucket=F.substring("key", 1, 12), base=base)
-                rows = rows.withColumn("txn_id", F.lit(txn_id).cast("long")).select(MUTATION.fieldNames())
-                rows.write.mode("append").parquet(f"{self.path}/{self._generation()}")
+                self.publish(make, txn=txn_id if pending else 0)
             return n
         finally:
             changes.unpersist()
@@ -114,18 +99,22 @@ class MutationLog:
         return live(self.read()).select("key", "value")
 
     def compact(self, partitions: int | None = None) -> None:
-        """Write the live rows, sorted by key, as the new generation; readers move over with one small file."""
-        name = f"g{uuid.uuid4().hex}"
-        rows = live(self.read()).select(MUTATION.fieldNames())
-        rows = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-        rows.sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
-        turn = self.spark.createDataFrame([(f"{len(self._turns()):08d}-{name}",)], "value string")
-        turn.coalesce(1).write.mode("append").text(self._pointer())
-
-    def _turns(self) -> list:
-        try:
-            return self.spark.read.text(self._pointer()).collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
+        """Write the live rows, sorted by key, as a new base. Appends meanwhile make it start again; older readers keep their files."""
+
+        def make(folder: Callable[..., str], last: int) -> int:
+            rows = live(self.read()).select(MUTATION.fieldNames())
+            rows = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
+            rows.sortWithinPartitions("key").write.parquet(folder())
+            return last
+
+        if self.commits():
+            self.publish(make, base=True)
+
+    def load(self, rows: DataFrame, lsn: int) -> None:
+        """Make ``rows`` (the columns of a mutation), as of ``lsn``, all that the log holds; its LSNs go on from the greater one."""
+
+        def make(folder: Callable[..., str], last: int) -> int:
+            rows.select(MUTATION.fieldNames()).write.parquet(folder())
+            return max(last, lsn)
+
+        self.publish(make, base=True)

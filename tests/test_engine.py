@@ -10,6 +10,7 @@ from lodestone.operators import lifecycle, routing
 from lodestone.operators import text as text_ops
 from lodestone.plans import lower
 from lodestone.plans import tree as t
+from lodestone.sources import log
 from lodestone.sources.catalog import INVERTED, KV, SPATIAL, IndexDef
 
 
@@ -68,12 +69,133 @@ def test_transactions(engine):
     assert engine.get("u", "a") == (True, "2")
 
 
+def test_transactions_over_indexes(spark, engine):
+    engine.create("w")
+    x, y = engine.begin("u", "w"), engine.begin("w")
+    x.put("a", "1")
+    x.put("b", "2", "w")
+    x.prepare()
+    assert engine.get("u", "a") == engine.get("w", "b") == (False, None)  # nothing counts before the decision
+    y.put("b", "3")
+    with pytest.raises(Unavailable):
+        y.commit()
+    with pytest.raises(Unavailable):
+        engine.compact("u")
+    assert x.commit() == "COMMITTED" and engine.get("u", "a") == (True, "1") and engine.get("w", "b") == (True, "2")
+    z = engine.begin("u", "w")
+    z.put("a", "9")
+    z.delete("b", "w")
+    z.prepare()
+    assert z.abort() == "ABORTED" and engine.decisions.decide(z.txn_id, "COMMITTED") == "ABORTED"
+    engine.compact("u")
+    again = Engine(spark, engine.path)
+    for name in ("u", "w"):
+        again.create(name)
+    assert again.get("u", "a") == (True, "1") and again.get("w", "b") == (True, "2")
+    with pytest.raises(InvalidArgument):
+        engine.begin("u").put("a", "1", "w")
+
+
+def test_stored_text_index(spark, engine, capsys):
+    docs = lambda *rows: spark.createDataFrame(rows, "key string, value string")
+    engine.create_text("t")
+    engine.add_documents("t", docs(("d1", "Running DOGS"), ("d2", "a dog"), ("d3", "cats")))
+    engine.add_documents("t", docs(("d2", "cats again")))
+    assert rows(engine.text_search("t", "dogs")) == [("d1", 1.0)] and [r.key for r in engine.text_search("t", "cat").collect()] == ["d2", "d3"]
+    engine.compact("t")
+    engine.add_documents("t", docs(("d3", "dog")))
+    again = Engine(spark, engine.path)
+    again.create_text("t")
+    assert [r.key for r in again.gql("SELECT * FROM t WHERE CONTAINS(value, 'dog')").df.collect()] == ["d1", "d3"]
+    assert [r.key for r in again.text_search("t", "cats").collect()] == ["d2"]
+    again.text_search("t", "cats").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,cat)" in plan
+
+
+def test_wrapped_values_are_searched(engine):
+    engine.bulk_put("u", [("a", "APP.TEXT(running dogs)"), ("b", "dogs"), ("c", "X.TEXT(cats)")])
+    assert [r.key for r in engine.text_search("u.text", "dog").collect()] == ["a"]
+    engine.put("u", "a", "plain")
+    engine.delete("u", "c")
+    assert engine.text_search("u.text", "dog cat").count() == 0
+
+
+def test_stored_spatial_index(spark, engine):
+    boxes = lambda *rows: spark.createDataFrame(rows, "id string, min_x double, min_y double, max_x double, max_y double")
+    engine.create_spatial("s")
+    engine.insert_spatial("s", boxes(("p", 0.0, 0.0, 1.0, 1.0), ("q", 5.0, 5.0, 6.0, 6.0), ("p", 9.0, 9.0, 9.0, 9.0)))
+    engine.delete_spatial("s", boxes(("p", 0.0, 0.0, 1.0, 1.0), ("q", 5.0, 5.0, 6.0, 6.5)))
+    engine.compact("s")
+    engine.insert_spatial("s", boxes(("p", 0.0, 0.0, 1.0, 1.0)))
+    again = Engine(spark, engine.path)
+    again.create_spatial("s")
+    found = lambda q: sorted(r.key for r in again.gql(q).df.collect())
+    assert found("SELECT key FROM s WHERE WITHIN(0, 0, 9, 9)") == ["p", "p", "q"]
+    assert found("SELECT key FROM s WHERE WITHIN(0, 0, 4, 4)") == ["p"]
+
+
+def test_lsns_only_grow(spark, engine):
+    engine.bulk_put("u", [("a", "1"), ("b", "2"), ("c", "3")])
+    engine.delete("u", "c")
+    x = engine.begin("u")
+    engine.compact("u")
+    log = engine.log("u")
+    assert log.last_lsn() == 4 and engine.size("u") == 2
+    engine.put("u", "a", "other")
+    assert log.last_lsn() == 5
+    x.put("a", "mine")
+    with pytest.raises(Unavailable):  # written after the compaction that came after the transaction began
+        x.commit()
+    assert engine.get("u", "a") == (True, "other")
+    again = Engine(spark, engine.path)
+    again.create("u")
+    assert again.get("u", "a") == (True, "other") and again.begin("u").seen == {"u": 5}
+
+
+def test_second_writer_numbers_its_rows_again(spark, engine, monkeypatch):
+    first, second = engine.log("u"), log.MutationLog(spark, engine.log("u").path)
+    late, commit = [True], second._commit
+
+    def slow(c):
+        if late.pop() if late else False:
+            first.append(spark.createDataFrame([("x", "1", "PUT")], "key string, value string, op string"))
+        commit(c)
+
+    monkeypatch.setattr(second, "_commit", slow)
+    assert second.append(spark.createDataFrame([("y", "2", "PUT"), ("z", "3", "PUT")], "key string, value string, op string")) == 2
+    assert sorted((r.lsn, r.key) for r in first.read().collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    monkeypatch.setattr(second, "_commit", commit)
+    late.append(True)
+    monkeypatch.setattr(second, "_commit", slow)
+    second.compact()  # what is appended meanwhile isn't lost
+    assert first.read().count() == 3 and first.last_lsn() == 4
+
+
+def test_numbers_of_any_keys(spark):
+    rng = random.Random(2)
+    keys = [f"{rng.random()}" for _ in range(300)] + ["the same prefix of all of these " + str(i) for i in range(300)] + ["twice"] * 2
+    got = log.numbered(spark.createDataFrame([(k,) for k in keys], "key string"), "key", base=7).collect()
+    assert sorted(r.lsn for r in got) == list(range(8, 8 + len(keys)))
+    assert [r.key for r in sorted(got, key=lambda r: r.lsn)] == sorted(keys)
+
+
+def test_bulk_rows_are_checked(spark, engine):
+    for row in (("", "x"), ("k" * 2000, "x"), ("k", "v" * 20000), (None, "x")):
+        with pytest.raises(InvalidArgument):
+            engine.bulk_put("u", spark.createDataFrame([("good", "y"), row], "key string, value string"))
+    assert engine.size("u") == 0
+
+
 def test_snapshot_and_restore(engine, tmp_path):
     engine.bulk_put("u", [("a", "1"), ("b", "2")])
     assert engine.snapshot("u", f"file://{tmp_path}/snap").count() >= 1
     engine.delete("u", "a")
     assert engine.restore("u", f"file://{tmp_path}/snap") == 2
-    assert engine.size("u") == 2
+    assert engine.size("u") == 2 and engine.log("u").last_lsn() == 3
+    again = Engine(engine.spark, engine.path)
+    again.create("u")
+    assert again.size("u") == 2
     with pytest.raises(NotFound):
         lifecycle.restore(engine.spark, f"file://{tmp_path}/snap", "other")
 
