@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. A stage works on all its predecessor
 kept and leaves rows it has nothing against as they are, rows with null ids
-or texts too.
+or texts too. Rows that repeat an id are one document, of which the near
+duplicate stage keeps the row with the least text. Extra columns are kept,
+whatever their names; empty tables give no sequences.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from lodestone.llm.encode import tokenizer_path
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.text import fresh
 
 #: Documents of this score or more are rejected. Operator 1 calls them toxic from 0.3 on; README has the figures of both.
 TOXIC = 0.5
@@ -22,14 +25,20 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents scored as toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, spans=False, name="__toxicity").where(F.col("__toxicity") < TOXIC).select(docs.columns)
+    name = fresh(docs.columns, "toxicity")
+    return toxicity.score(docs, model, spans=False, name=name).where(F.col(name) < TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of documents whose five-word shingles are similar by 0.8 or more, the first id stays."""
     found = ngram_join.similar(docs, k=5, percent=80)
     others = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    again = found.groupBy("id").agg(F.count("*").alias("n")).where("id is not null and n > 1").select(F.col("id").alias("doc_id"))
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(one.select("row.*"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
