@@ -47,10 +47,27 @@ def distance_m(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
     return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
 
 
-def nearest(a: tuple, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """The point (lat, lon) of a rectangle nearest to the centre by coordinate."""
-    clamp = lambda v, low, high: F.greatest(low, F.least(F.lit(v), high))
-    return clamp(lat0, a[1], a[3]), clamp(lon0, a[0], a[2])
+def distance_to(a: tuple, lat0: float, lon0: float) -> Column:
+    """Metres from (lat0, lon0) to the nearest point of a rectangle on the sphere.
+
+    Where the rectangle spans the centre's meridian that is a point of it. Else it
+    lies on the side whose meridian is less far round the globe, at the foot of
+    the perpendicular if the side reaches it, or else at the side's nearer end.
+    """
+    clamp = lambda v, low, high: F.greatest(low, F.least(v, high))
+    spans = F.lit(False)
+    for turn in (-360.0, 0.0, 360.0):
+        spans = spans | ((a[0] <= lon0 + turn) & (a[2] >= lon0 + turn))
+    straight = distance_m(clamp(F.lit(lat0), a[1], a[3]), F.lit(lon0), lat0, lon0)
+    phi = math.radians(lat0)
+    ends = []
+    for side in (a[0], a[2]):
+        d = F.radians(side - F.lit(lon0))
+        # On a meridian d away, sin(phi) sin(x) + cos(phi) cos(x) cos(d), the cosine of the distance, is greatest here.
+        foot = F.degrees(F.atan2(F.lit(math.sin(phi)), F.lit(math.cos(phi)) * F.cos(d)))
+        inside = distance_m(clamp(foot, a[1], a[3]), side, lat0, lon0)
+        ends.append(F.least(inside, distance_m(a[1], side, lat0, lon0), distance_m(a[3], side, lat0, lon0)))
+    return F.when(spans, straight).otherwise(F.least(*ends))
 
 
 def near_box(lat: float, lon: float, radius: float) -> tuple[float, float, float, float]:

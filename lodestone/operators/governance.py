@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 from collections import deque
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import PermissionDenied, ResourceExhausted
+from .sequence import with_previous
 
 # What each role may do.
 ROLES = {
@@ -26,59 +28,61 @@ def require(role: str | None, action: str) -> None:
         raise PermissionDenied(f"{role} may not {action}")
 
 
-def admit(requests: DataFrame, tenant: str, ts: str, order: str, rate: float, burst: float, cost: str | None = None, span: str = "1 day") -> DataFrame:
+def admit(requests: DataFrame, tenant: str, ts: str, order: str, rate: float, burst: float, cost: str | None = None) -> DataFrame:
     """Token bucket for each tenant: rows with ``admitted`` and the tokens left.
 
     Refill is capped, so the state after a request depends on those before it.
     A full bucket forgets its past: a gap of burst / rate seconds starts a new
-    run, and runs are worked apart, so a tenant of many requests is spread over
-    as many tasks as it has such gaps.
+    run, and runs are worked apart. They are found inside spans of time, so a
+    tenant of many requests is sorted in many tasks; one run is one task's.
     """
-    w = Window.partitionBy(tenant).orderBy(ts, order)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = (micros - F.lag(micros).over(w)) >= burst / rate * 1e6
-    runs = requests.withColumn("__run", F.sum(F.coalesce(fresh.cast("int"), F.lit(1))).over(w))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, admitted boolean, tokens double"
+    runs = with_previous(requests, tenant, ts, order, math.ceil(burst / rate * 1e6))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
+        pdf = pdf.sort_values(["__us", order])
         tokens, last, ok, left = burst, None, [], []
         costs = pdf[cost] if cost else [1.0] * len(pdf)
-        for t, c in zip(pdf[ts].astype("int64") / _unit(pdf[ts]), costs, strict=True):
+        for t, c in zip(pdf["__us"], costs, strict=True):
             if last is not None:
-                tokens = min(burst, tokens + (t - last) * rate)
+                tokens = min(burst, tokens + (t - last) / 1e6 * rate)
             last = t
             ok.append(bool(tokens >= c))
             tokens -= c if ok[-1] else 0
             left.append(tokens)
-        return pdf.drop(columns="__run").assign(admitted=ok, tokens=left)
+        return pdf[requests_columns].assign(admitted=ok, tokens=left)
 
-    return runs.groupBy(tenant, "__run").applyInPandas(run, schema)
+    requests_columns = requests.columns
+    return runs.drop("__prev").groupBy(tenant, "__run").applyInPandas(run, f"{_fields(requests)}, admitted boolean, tokens double")
 
 
-def _unit(times: pd.Series) -> float:
-    return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(times.dt, "unit", "ns")]
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def request_quota(requests: DataFrame, tenant: str, ts: str, order: str, per_second: int) -> DataFrame:
     """Requests with ``admitted``: a one-second window opens with the first request after the last one ended."""
-    w = Window.partitionBy(tenant).orderBy(ts, order)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = (micros - F.lag(micros).over(w)) >= 1_000_000
-    runs = requests.withColumn("__run", F.sum(F.coalesce(fresh.cast("int"), F.lit(1))).over(w))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, admitted boolean"
+    runs = with_previous(requests, tenant, ts, order, 1_000_000)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
+        pdf = pdf.sort_values(["__us", order])
         start, n, ok = None, 0, []
-        for t in pdf[ts].astype("int64") / _unit(pdf[ts]):
-            if start is None or t - start >= 1:
+        for t in pdf["__us"]:
+            if start is None or t - start >= 1_000_000:
                 start, n = t, 0
             ok.append(n < per_second)
             n += ok[-1]
-        return pdf.drop(columns="__run").assign(admitted=ok)
+        return pdf[requests_columns].assign(admitted=ok)
 
-    return runs.groupBy(tenant, "__run").applyInPandas(run, schema)
+    requests_columns = requests.columns
+    return runs.drop("__prev").groupBy(tenant, "__run").applyInPandas(run, f"{_fields(requests)}, admitted boolean")
+
+
+def latency_histogram(calls: DataFrame, name: str, duration: str, bounds: tuple[float, ...]) -> DataFrame:
+    """Calls of each name at or below each bound and above the one before; the last bucket (null) is beyond all."""
+    least = F.lit(None).cast("double")
+    for b in reversed(bounds):
+        least = F.when(F.col(duration) <= b, F.lit(float(b))).otherwise(least)
+    return calls.where(F.col(duration).isNotNull()).groupBy(F.col(name).alias("name"), least.alias("at_most")).agg(F.count("*").alias("calls"))
 
 
 def storage_quota(writes: DataFrame, namespace: str, order: str, size: str, max_bytes: int, max_keys: int) -> DataFrame:
@@ -119,10 +123,10 @@ def with_timeout(spark: SparkSession, seconds: float, call):
 
     def stop():
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         return call()
@@ -132,7 +136,7 @@ def with_timeout(spark: SparkSession, seconds: float, call):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def batches(rows: Iterator[bytes], max_bytes: int = 64 << 10, max_rows: int = 256) -> Iterator[list[bytes]]:

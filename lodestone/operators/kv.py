@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.values import MAX_BULK, MAX_RANGE, number, problems
+from ..sources.catalog import KeyCodec
 
 ALL = "*"
 
@@ -30,13 +31,18 @@ def get_range(kv: DataFrame, start: str, end: str, limit: int | None = MAX_RANGE
     return rows if limit is None else rows.limit(limit)
 
 
-def prefix(kv: DataFrame, start: str) -> DataFrame:
-    return kv.where(F.startswith("key", F.lit(start)))
+def prefix(kv: DataFrame, start: str, codec: KeyCodec | None = None) -> DataFrame:
+    """Rows whose key begins so; with a codec the scan gets the bounds of the native column."""
+    native = codec.within(start) if codec else None
+    rows = kv if native is None else kv.where(native)
+    return rows.where(F.startswith("key", F.lit(start)))
 
 
-def page(kv: DataFrame, after: str | None, size: int) -> DataFrame:
+def page(kv: DataFrame, after: str | None, size: int, codec: KeyCodec | None = None) -> DataFrame:
     """The next ``size`` rows after a key: a page costs no more the further on it is."""
-    return (kv if after is None else kv.where(F.col("key") > F.lit(after))).orderBy("key").limit(size)
+    native = codec.bound(">", after) if codec and after is not None else None
+    rows = kv if native is None else kv.where(native)
+    return (rows if after is None else rows.where(F.col("key") > F.lit(after))).orderBy("key").limit(size)
 
 
 def range_aggregates(kv: DataFrame, start: str, end: str, value: Column | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import with_previous
+
 
 def segments(log: DataFrame) -> DataFrame:
     """First and last LSN and records of each segment."""
@@ -58,9 +60,8 @@ def from_lsn(log: DataFrame, lsn: int) -> DataFrame:
 
 def liveness(beats: DataFrame, node: str, ts: str, order: str, interval: str) -> DataFrame:
     """Heartbeats that came later than the interval after the one before: the node was down in between."""
-    w = Window.partitionBy(node).orderBy(ts, order)
-    before = F.lag(ts).over(w)
-    return beats.withColumn("prev_ts", before).where(F.col(ts) > F.col("prev_ts") + F.expr(f"INTERVAL {interval}"))
+    found = with_previous(beats, node, ts, order).withColumn("prev_ts", F.timestamp_micros("__prev").cast(beats.schema[ts].dataType))
+    return found.where(F.col(ts) > F.col("prev_ts") + F.expr(f"INTERVAL {interval}")).drop("__us", "__prev")
 
 
 def decode_text(records: DataFrame) -> DataFrame:

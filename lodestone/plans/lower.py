@@ -82,7 +82,7 @@ def _boxes(boxes) -> Column:
 
 
 def _distance(lat: float, lon: float) -> Column:
-    return geo.distance_m(*geo.nearest(geo.rect(), lat, lon), lat, lon)
+    return geo.distance_to(geo.rect(), lat, lon)
 
 
 def _near(index: IndexDef, lat: float, lon: float, radius: float, options: Options) -> Column:

@@ -134,12 +134,12 @@ def kv_full_scan_sentinel(spark, d):
 
 @query(f"SELECT key, value FROM {ORDERS_SQL} WHERE starts_with(key, 'order:0000012')")
 def kv_prefix_scan(spark, d):
-    return kv.prefix(_orders(spark, d).rows, "order:0000012").select("key", "value")
+    return kv.prefix(_orders(spark, d).rows, "order:0000012", ORDER_KEYS).select("key", "value")
 
 
 @query(f"SELECT key, value FROM {ORDERS_SQL} WHERE key > 'order:00000500' ORDER BY key LIMIT 25")
 def kv_page(spark, d):
-    return kv.page(_orders(spark, d).rows, "order:00000500", 25).select("key", "value")
+    return kv.page(_orders(spark, d).rows, "order:00000500", 25, ORDER_KEYS).select("key", "value")
 
 
 # Predicates
@@ -149,9 +149,9 @@ for _name, _op in (("eq", "="), ("neq", "!="), ("lt", "<"), ("lte", "<="), ("gt"
     ORACLE_SQL[f"gql_{_name}"] = f"SELECT key, value FROM {CUSTOMERS_SQL} WHERE value {_op} 'BUILDING'"
 
 
-@query(f"SELECT key, value FROM {CUSTOMERS_SQL} WHERE (value = 'BUILDING' OR key < 'customer:00000300') AND NOT (value >= 'M' AND key BETWEEN 'customer:00000100' AND 'customer:00000200') ORDER BY key LIMIT 400")
+@query(f"SELECT key, value FROM {CUSTOMERS_SQL} WHERE (value = 'BUILDING' OR key < 'customer:00000300') AND NOT (value >= 'M' AND key BETWEEN 'customer:00000100' AND 'customer:00000200')")
 def gql_and_or_not(spark, d):
-    return _gql("SELECT * FROM customers WHERE (value = 'BUILDING' OR key < 'customer:00000300') AND NOT (value >= 'M' AND key BETWEEN 'customer:00000100' AND 'customer:00000200') ORDER BY key LIMIT 400", _customers)(spark, d)
+    return _gql("SELECT * FROM customers WHERE (value = 'BUILDING' OR key < 'customer:00000300') AND NOT (value >= 'M' AND key BETWEEN 'customer:00000100' AND 'customer:00000200')", _customers, options=lower.Options(None, None))(spark, d)
 
 
 @query(f"SELECT value, c_name FROM {CUSTOMERS_SQL} WHERE key <= 'customer:00000050'")
@@ -216,10 +216,25 @@ def gql_within(spark, d):
     return _gql("SELECT key, value FROM places WHERE WITHIN(10, -30, 60, 20)", _places, options=lower.Options(None, None))(spark, d)
 
 
-_NEAR = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(y - 48.0) / 2), 2) + cos(radians(48.0)) * cos(radians(y)) * pow(sin(radians(x - 2.0) / 2), 2))))"
+def _away(lat, lon):
+    """Metres of a point from (48, 2), in SQL."""
+    return f"2 * 6371000.0 * asin(least(1.0, sqrt(power(sin(radians(({lat}) - 48.0) / 2), 2) + cos(radians(48.0)) * cos(radians({lat})) * power(sin(radians(({lon}) - 2.0) / 2), 2))))"
 
 
-@query(f"SELECT key, round(dist, 3) AS score FROM (SELECT key, {_NEAR} AS dist FROM (SELECT key, greatest(min_x, least(2.0, max_x)) AS x, greatest(min_y, least(48.0, max_y)) AS y FROM {GEO_SQL})) WHERE dist <= 1500000")
+def _clamped(lat):
+    return f"greatest(min_y, least({lat}, max_y))"
+
+
+def _foot(side):
+    return _clamped(f"degrees(atan2(sin(radians(48.0)), cos(radians(48.0)) * cos(radians({side} - 2.0))))")
+
+
+# The nearest point of a rectangle: on the centre's meridian if it spans that, else on one of its sides.
+_SIDE = "least(" + ", ".join(_away(lat, side) for side in ("min_x", "max_x") for lat in (_foot(side), "min_y", "max_y")) + ")"
+_NEAR = f"CASE WHEN (min_x <= 2 AND max_x >= 2) OR (min_x <= 362 AND max_x >= 362) OR (min_x <= -358 AND max_x >= -358) THEN {_away(_clamped('48.0'), '2.0')} ELSE {_SIDE} END"
+
+
+@query(f"SELECT key, round(dist, 3) AS score FROM (SELECT key, {_NEAR} AS dist FROM {GEO_SQL}) WHERE dist <= 1500000")
 def gql_near(spark, d):
     return _gql("SELECT * FROM places WHERE NEAR(48, 2, 1500000)", _places, options=lower.Options(None, None))(spark, d).select("key", F.round("score", 3).alias("score"))
 
@@ -522,12 +537,33 @@ def kv_validate(spark, d):
     return good.select("key", size, F.lit(True).alias("good")).unionByName(bad.select("key", size, F.lit(False).alias("good")))
 
 
-@query()
+_TURNS = "asked AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_TURNS},
+state AS (SELECT *, true AS admitted, CAST(4 AS DOUBLE) AS tokens FROM asked WHERE turn = 1
+  UNION ALL SELECT event_id, user_id, ts, us, turn, had >= 1, had - CASE WHEN had >= 1 THEN 1 ELSE 0 END
+  FROM (SELECT a.*, least(CAST(5 AS DOUBLE), s.tokens + (a.us - s.us) / CAST(1000000 AS DOUBLE) * (CAST(1 AS DOUBLE) / CAST(3600 AS DOUBLE))) AS had FROM state s JOIN asked a ON a.user_id = s.user_id AND a.turn = s.turn + 1))
+SELECT event_id, user_id, ts, admitted, round(tokens, 6) AS tokens FROM state"""
+)
 def token_bucket(spark, d):
     rows = _read(spark, d, "events").select("event_id", "user_id", "ts")
-    return governance.admit(rows, "user_id", "ts", "event_id", rate=1 / 3600, burst=5.0)
+    return governance.admit(rows, "user_id", "ts", "event_id", rate=1 / 3600, burst=5.0).withColumn("tokens", F.round("tokens", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TURNS},
+state AS (SELECT *, us AS opened, 1 AS n, true AS admitted FROM asked WHERE turn = 1
+  UNION ALL SELECT a.event_id, a.user_id, a.ts, a.us, a.turn, CASE WHEN a.us - s.opened >= 1000000 THEN a.us ELSE s.opened END,
+    CASE WHEN a.us - s.opened >= 1000000 THEN 1 ELSE s.n + 1 END, a.us - s.opened >= 1000000 OR s.n < 1
+  FROM state s JOIN asked a ON a.user_id = s.user_id AND a.turn = s.turn + 1)
+SELECT event_id, user_id, ts, admitted FROM state"""
+)
 def request_quota(spark, d):
     return governance.request_quota(_read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 1)
+
+
+@query("SELECT event_type AS name, CASE WHEN value <= 5 THEN 5.0::DOUBLE WHEN value <= 25 THEN 25.0::DOUBLE WHEN value <= 50 THEN 50.0::DOUBLE END AS at_most, count(*) AS calls FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def latency_histogram(spark, d):
+    return governance.latency_histogram(_read(spark, d, "events"), "event_type", "value", (5.0, 25.0, 50.0))

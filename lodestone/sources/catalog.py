@@ -33,6 +33,15 @@ class KeyCodec:
         digits = key.removeprefix(self.prefix)
         return int(digits) if key.startswith(self.prefix) and re.fullmatch(rf"[0-9]{{{self.width}}}", digits) else None
 
+    def within(self, start: str) -> Column | None:
+        """What keys that begin with ``start`` ask of the number; numbers too long for the padding go through."""
+        digits = start.removeprefix(self.prefix)
+        if not start.startswith(self.prefix) or not re.fullmatch(rf"[0-9]{{0,{self.width}}}", digits):
+            return None
+        c, unit = F.col(self.column), 10 ** (self.width - len(digits))
+        low = int(digits or "0") * unit
+        return ((c >= low) & (c < low + unit)) | (c >= 10**self.width) | (c < 0)
+
     def bound(self, op: str, key: str) -> Column | None:
         n = self.number(key)
         if n is None:
