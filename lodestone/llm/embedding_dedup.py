@@ -35,7 +35,9 @@ from .components import components
 from .scratch import Scratch
 
 #: Vectors of the sample the codebooks are fitted on; members and visitors of a tile.
-SAMPLE, TILE, RECALL = 4096, 1024, 0.99
+SAMPLE, TILE, RECALL = 8192, 1024, 0.99
+#: The power of two of centroids of a half at most: eight vectors of the sample or more for each.
+MOST = 10
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -80,19 +82,14 @@ class Grid:
         return np.argmin(d1, 1) * len(self.second) + np.argmin(d2, 1)
 
     def order(self, x: np.ndarray) -> np.ndarray:
-        """Cells each row visits. The grid is small, so the traversal's order is taken by a partial sort of its sums."""
+        """Cells each row visits, by multi-sequence traversal."""
         d1, d2 = self.distances(x)
-        n = self.visits
-        keep1, keep2 = (np.argsort(d, 1, kind="stable")[:, : min(n, d.shape[1])] for d in (d1, d2))
-        sums = np.take_along_axis(d1, keep1, 1)[:, :, None] + np.take_along_axis(d2, keep2, 1)[:, None, :]
-        names = keep1[:, :, None] * len(self.second) + keep2[:, None, :]
-        best = np.argsort(sums.reshape(len(x), -1), 1, kind="stable")[:, :n]
-        return np.take_along_axis(names.reshape(len(x), -1), best, 1)
+        return np.array([traversal(a, b, self.visits) for a, b in zip(d1, d2, strict=True)], np.int64).reshape(len(x), -1)
 
 
 def fit(sample: np.ndarray, rows: int, cosine: float, recall: float = RECALL) -> Grid:
     """A grid for about ``rows`` vectors from a sample of unit vectors."""
-    k = 1 << int(np.clip(np.round(np.log2(max(np.sqrt(rows), 1) / 8)), 2, 8))
+    k = 1 << int(np.clip(np.round(np.log2(max(np.sqrt(rows), 1) / 8)), 2, MOST))
     cut = max(1, sample.shape[1] // 2)
     grid = Grid(kmeans(sample[:, :cut], k), kmeans(sample[:, cut:], k))
     rng = np.random.default_rng(11)
@@ -112,9 +109,10 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float = RECALL) ->
 
 
 def _rank(d1: np.ndarray, d2: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    sums = d1[:, :, None] + d2[:, None, :]
-    own = sums.reshape(len(d1), -1)[np.arange(len(d1)), cell]
-    return (sums.reshape(len(d1), -1) < own[:, None]).sum(1)
+    """How many cells are nearer than the given one, of each row."""
+    row = np.arange(len(d1))
+    own = d1[row, cell // d2.shape[1]] + d2[row, cell % d2.shape[1]]
+    return np.array([np.searchsorted(np.sort(b), t - a).sum() for a, b, t in zip(d1, d2, own, strict=True)])
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -160,11 +158,11 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), part.column("x"), pa.array(own, pa.int32()), pa.array(list(visits.astype(np.int32)), pa.list_(pa.int32()))], ["id", "n", "x", "cell", "visits"])
 
     placed = tmp.cut(reps.mapInArrow(place, "id long, n long, x binary, cell int, visits array<int>"), "placed")
-    # The grid bounds these: a row a cell.
-    members = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    visitors = {r["c"]: r["count"] for r in placed.select(F.explode("visits").alias("c")).groupBy("c").count().collect()}
-    tiles = spark.createDataFrame([(c, -(-n // tile), -(-visitors.get(c, 1) // tile)) for c, n in members.items()], "c int, m int, q int")
-    tiles = F.broadcast(tiles)
+    # A row a cell, of which the grid has a bounded number.
+    split = lambda n: F.ceil(F.coalesce(n, F.lit(1)) / F.lit(tile)).cast("int")
+    members = placed.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("m"))
+    visitors = placed.select(F.explode("visits").alias("c")).groupBy("c").agg(F.count("*").alias("q"))
+    tiles = tmp.cut(members.join(visitors, "c", "left").select("c", split(F.col("m")).alias("m"), split(F.col("q")).alias("q")), "tiles")
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = placed.select("id", "n", "x", "cell", F.explode("visits").alias("c")).join(tiles, "c").select("c", every("m").alias("a"), spread("q", 1).alias("b"), "id", "n", "x", "cell", F.lit(None).cast("array<int>").alias("visits"), F.lit(True).alias("asks"))
@@ -198,7 +196,8 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "links": pa.array(links_, pa.int64()), "root": pa.array(root, pa.int64())})
 
     tiles_out = tmp.cut(queries.union(found).groupBy("c", "a", "b").applyInArrow(match, "id long, links long, root long"), "matched")
-    tmp.drop("placed")
+    shared.destroy()
+    tmp.drop("placed", "tiles")
     sums = tiles_out.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(tiles_out.select(F.col("id").alias("a"), F.col("root").alias("b")), tmp)
     named = reps.join(sums, "id", "left").join(labels, "id", "left").select(F.col("x").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
