@@ -281,4 +281,4 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     model = train(docs, labels.where(part_of("doc_id", 4) != 2))
     held = F.coalesce(part_of("doc_id", 4) == 2, F.lit(False))
     found = score(docs, model, spans=True)
-    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.size("toxic_spans").cast("long").alias("n_toxic_words"))
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.size("toxic_spans").cast("long").alias("n_toxic_words"), "toxic_spans")
