@@ -85,11 +85,20 @@ def latency_histogram(calls: DataFrame, name: str, duration: str, bounds: tuple[
     return calls.where(F.col(duration).isNotNull()).groupBy(F.col(name).alias("name"), least.alias("at_most")).agg(F.count("*").alias("calls"))
 
 
-def storage_quota(writes: DataFrame, namespace: str, order: str, size: str, max_bytes: int, max_keys: int) -> DataFrame:
-    """Writes with the bytes and keys of their namespace so far and whether these are within the quota."""
-    w = Window.partitionBy(namespace).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    used = writes.withColumn("bytes_so_far", F.sum(size).over(w)).withColumn("keys_so_far", F.count("*").over(w))
-    return used.withColumn("within", (F.col("bytes_so_far") <= max_bytes) & (F.col("keys_so_far") <= max_keys))
+def storage_quota(writes: DataFrame, namespace: str, order: str, size: str, max_bytes: int, max_keys: int, span: int = 10_000) -> DataFrame:
+    """Writes with the bytes and keys of their namespace so far and whether these are within the quota.
+
+    ``order`` is a number. Sums run inside spans of it and start from those of the spans before, of which there is a row each.
+    """
+    writes = writes.withColumn("__span", F.floor(F.col(order) / F.lit(span)))
+    inside = Window.partitionBy(namespace, "__span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("__name").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    spans = writes.groupBy(F.col(namespace).alias("__name"), F.col("__span").alias("__at")).agg(F.sum(size).alias("__bytes"), F.count("*").alias("__keys"))
+    spans = spans.select("__name", "__at", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__bytes"), F.coalesce(F.sum("__keys").over(before), F.lit(0)).alias("__keys"))
+    used = writes.withColumn("bytes_so_far", F.sum(size).over(inside)).withColumn("keys_so_far", F.count("*").over(inside))
+    used = used.join(spans, F.col(namespace).eqNullSafe(F.col("__name")) & F.col("__span").eqNullSafe(F.col("__at")))
+    used = used.withColumn("bytes_so_far", F.coalesce("bytes_so_far", F.lit(0)) + F.col("__bytes")).withColumn("keys_so_far", F.col("keys_so_far") + F.col("__keys"))
+    return used.drop("__span", "__name", "__at", "__bytes", "__keys").withColumn("within", (F.col("bytes_so_far") <= max_bytes) & (F.col("keys_so_far") <= max_keys))
 
 
 def over_quota(usage: DataFrame, max_bytes: int, max_keys: int) -> DataFrame:

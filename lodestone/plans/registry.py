@@ -34,6 +34,14 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder the cluster names; a local one only where Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+
+
 ORDER_KEYS, DOC_KEYS, CUSTOMER_KEYS = KeyCodec("order:", "o_orderkey", 8), KeyCodec("doc:", "doc_id", 8), KeyCodec("customer:", "c_custkey", 8)
 
 
@@ -424,7 +432,7 @@ def liveness_gaps(spark, d):
 
 @query(f"SELECT key, value FROM {LATEST_SQL.format(LOG_SQL)} WHERE op <> 'DELETE'")
 def stream_replica_apply(spark, d):
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="replica-")) + f"/replica-{abs(hash((d, id(spark))))}-{next(_turn)}"
+    where = _shared(spark) + f"/replica-{abs(hash((d, id(spark))))}-{next(_turn)}"
     _log(spark, d).select("key", "value", "op", "lsn", F.col("txn_id").cast("long").alias("txn_id")).repartition(4).write.mode("overwrite").parquet(f"{where}/log")
     replica.apply(replica.source(spark, f"{where}/log", max_files=2), f"{where}/view", f"{where}/checkpoint").awaitTermination()
     return replica.replica(spark, f"{where}/view").select("key", "value")

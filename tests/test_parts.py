@@ -71,6 +71,18 @@ def test_previous_rows_over_spans(spark, span):
             last = us
 
 
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_sums_over_spans(spark, span):
+    rng = random.Random(6)
+    data = [(rng.choice("aab"), i, rng.choice((None, 1, 5))) for i in range(200)] + [(None, 200, 3)]
+    got = {r.i: r for r in governance.storage_quota(spark.createDataFrame(data, "n string, i long, size long"), "n", "i", "size", 100, 30, span).collect()}
+    sums = {}
+    for n, i, size in data:
+        b, k = sums.get(n, (0, 0))
+        sums[n] = b, k = b + (size or 0), k + 1
+        assert (got[i].bytes_so_far, got[i].keys_so_far, got[i].within) == (b, k, b <= 100 and k <= 30)
+
+
 def test_nearest_point_of_rectangles(spark):
     rng = random.Random(8)
     cases = [(-180.0, 0.0, -100.0, 10.0, 5.0, 179.0), (170.0, 60.0, 175.0, 80.0, 85.0, -20.0)]
