@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, slots
+from ..engine import Engine
+from ..errors import PermissionDenied, Unavailable
+from ..functions import geo, slots, values
 from ..functions.text import terms
 from ..operators import governance, kv, lifecycle, routing, spatial, wal
+from ..operators.cluster import Cluster
 from ..operators import text as text_ops
 from ..sources import log as logs
 from ..sources.catalog import INVERTED, KV, SPATIAL, Catalog, IndexDef, KeyCodec
+from ..sources.indexes import SpatialIndex, TextIndex
 from ..streaming import replica
 from . import lower
 from .parse import parse
@@ -575,3 +580,187 @@ def request_quota(spark, d):
 @query("SELECT event_type AS name, CASE WHEN value <= 5 THEN 5.0::DOUBLE WHEN value <= 25 THEN 25.0::DOUBLE WHEN value <= 50 THEN 50.0::DOUBLE END AS at_most, count(*) AS calls FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def latency_histogram(spark, d):
     return governance.latency_histogram(_read(spark, d, "events"), "event_type", "value", (5.0, 25.0, 50.0))
+
+
+# Writes, by the engine in a folder of its own
+
+def _engine(spark, d) -> Engine:
+    return Engine(spark, f"{_shared(spark)}/engine-{uuid4().hex}")
+
+
+def _customer_rows(spark, d):
+    return _customers(spark, d).rows.select("key", "value")
+
+
+@query(f"""SELECT key, CASE key WHEN 'customer:00000003' THEN 'put' WHEN 'customer:00000004' THEN 'set' ELSE value END AS value FROM {CUSTOMERS_SQL}
+WHERE key NOT IN ('customer:00000001', 'customer:00000002') AND NOT (value = 'BUILDING' AND key > 'customer:00000050')
+UNION ALL SELECT 'new', 'inserted'""")
+def engine_writes(spark, d):
+    """Bulk puts, INSERT, Put, Delete, DELETE by key and by predicate, UPDATE, compaction."""
+    e = _engine(spark, d)
+    e.create("c")
+    e.bulk_put("c", _customer_rows(spark, d))
+    e.gql("INSERT INTO c (key, value) VALUES ('new', 'inserted')")
+    e.put("c", "customer:00000003", "put")
+    e.delete("c", "customer:00000001")
+    e.gql("DELETE FROM c WHERE key = 'customer:00000002'")
+    e.compact("c")
+    e.gql("DELETE FROM c WHERE value = 'BUILDING' AND key > 'customer:00000050'")
+    e.gql("UPDATE c SET value = 'set' WHERE key = 'customer:00000004'")
+    return e.table("c").select("key", "value")
+
+
+@query(f"SELECT key, value, (SELECT count(*) FROM customer) AS size FROM {CUSTOMERS_SQL} WHERE key >= 'customer:00000010' AND key < 'customer:00000100'")
+def engine_cursor(spark, d):
+    e = _engine(spark, d)
+    e.create("c")
+    e.bulk_put("c", _customer_rows(spark, d))
+    rows = [(r["key"], r["value"]) for r in e.cursor("c", "customer:00000010", "customer:00000100")]
+    return spark.createDataFrame(rows, "key string, value string").withColumn("size", F.lit(e.size("c")).cast("long"))
+
+
+@query("SELECT * FROM (VALUES ('u', 'a', '1'), ('w', 'b', '2')) t(name, key, value)")
+def txn_over_indexes(spark, d):
+    """One transaction over two indexes commits; one that met its key aborts, one is aborted, one is never decided."""
+    e = _engine(spark, d)
+    for name in ("u", "w"):
+        e.create(name)
+    one, two, three, four = (e.begin("u", "w") for _ in range(4))
+    one.put("a", "1", "u")
+    one.put("b", "2", "w")
+    two.put("a", "x", "u")
+    two.put("z", "x", "w")
+    three.put("c", "3", "u")
+    four.put("d", "4", "w")
+    one.commit()
+    try:
+        two.commit()
+    except Unavailable:
+        pass
+    three.prepare()
+    three.abort()
+    four.prepare()
+    e.put("u", "e", "5")
+    e.delete("u", "e")
+    return e.table("u").select(F.lit("u").alias("name"), "key", "value").unionByName(e.table("w").select(F.lit("w").alias("name"), "key", "value"))
+
+
+_CHANGED_SQL = DOCS_SQL.replace("text AS value", "CASE WHEN doc_id % 10 = 0 THEN 'replaced moronic words' ELSE text END AS value")
+
+
+@query(f"SELECT DISTINCT doc_key AS key, CAST(1.0 AS DOUBLE) AS score FROM {TERMS_SQL.replace(DOCS_SQL, _CHANGED_SQL)} WHERE term IN ('tion', 'moronic') AND doc_key NOT LIKE '%5'")
+def text_index_stored(spark, d):
+    """A text index on disk: all documents added, some replaced, compacted, some removed, searched."""
+    e = _engine(spark, d)
+    e.create_text("t")
+    docs = _documents(spark, d).rows
+    e.add_documents("t", docs)
+    e.add_documents("t", docs.where("key like '%0'").select("key", F.lit("replaced moronic words").alias("value")))
+    e.compact("t")
+    e._texts["t"].remove(docs.where("key like '%5'"))
+    e.create_text("t")
+    return e.text_search("t", "tion moronic", None)
+
+
+@query(f"SELECT key FROM {GEO_SQL} WHERE c_custkey % 3 <> 0 AND min_x <= 40 AND max_x >= 0 AND min_y <= 50 AND max_y >= 10")
+def spatial_index_stored(spark, d):
+    """Rectangles on disk: all added, a third removed by key and sides, searched by window."""
+    e = _engine(spark, d)
+    e.create_spatial("s")
+    places = _places(spark, d).rows.select(F.col("key").alias("id"), "value", *geo.SIDES, "c_custkey")
+    e.insert_spatial("s", places)
+    e.delete_spatial("s", places.where("c_custkey % 3 = 0"))
+    e.compact("s")
+    return _gql_on(e, "SELECT key FROM s WHERE WITHIN(10, 0, 50, 40)")
+
+
+def _gql_on(e: Engine, text: str) -> DataFrame:
+    return lower.select(e.catalog, parse(text), lower.Options(None, None))
+
+
+@query(f"SELECT key, value FROM {CUSTOMERS_SQL}")
+def snapshot_restored(spark, d):
+    """A snapshot with its manifest, restored and verified after everything was deleted."""
+    e = _engine(spark, d)
+    e.create("c")
+    e.bulk_put("c", _customer_rows(spark, d))
+    e.snapshot("c", f"{e.path}/snapshots")
+    e.gql("DELETE FROM c WHERE key >= ''")
+    e.restore("c", f"{e.path}/snapshots")
+    return e.table("c").select("key", "value")
+
+
+@query(f"SELECT key, sha256(value) AS checksum, value AS opened, printf('%.6f', c_acctbal) AS score, CASE WHEN c_acctbal > 0 THEN value || chr(10) || key END AS inside FROM {CUSTOMERS_SQL}")
+def value_functions(spark, d):
+    rows = _customers(spark, d).rows
+    wrapped = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("APP.TEXT("), "value", F.lit("\n"), "key", F.lit(")"))).otherwise(F.col("value"))
+    secret = "0123456789abcdef"
+    return rows.select("key", values.checksum(F.encode("value", "UTF-8")).alias("checksum"), values.unseal(values.seal(F.col("value"), secret), secret).cast("string").alias("opened"), values.score_text(F.col("c_acctbal")).alias("score"), values.wrapped_text(wrapped).alias("inside"))
+
+
+@query(f"SELECT key, value || '!' AS value FROM {CUSTOMERS_SQL} UNION ALL SELECT 'added', 'row!'")
+def schema_migrations(spark, d):
+    """Two migrations applied in order, a third applied and undone."""
+    shout = lifecycle.Migration(2, "shout", lambda t: t.withColumn("value", F.concat("value", F.lit("!"))))
+    add = lifecycle.Migration(1, "add", lambda t: t.unionByName(spark.createDataFrame([("added", "row")], "key string, value string")))
+    marked = F.startswith("key", F.lit(lifecycle.Migrator.PREFIX))
+    renamed = lambda t, new: t.withColumn("key", F.when(marked, F.col("key")).otherwise(new))
+    gone = lifecycle.Migration(3, "gone", lambda t: renamed(t, F.concat(F.lit("x"), "key")), lambda t: renamed(t, F.substring("key", 2, 1 << 20)))
+    first = lifecycle.Migrator([shout, add]).up(_customer_rows(spark, d))
+    data = lifecycle.Migrator([gone]).up(first.where(~marked))
+    return lifecycle.Migrator([gone]).down(data).where(~marked).select("key", "value")
+
+
+@query("SELECT * FROM (VALUES ('admin', 'read', true), ('admin', 'write', true), ('admin', 'delete', true), ('admin', 'bulk', true), ('admin', 'search', true), ('admin', 'admin', true), ('writer', 'read', true), ('writer', 'write', true), ('writer', 'delete', true), ('writer', 'bulk', true), ('writer', 'search', true), ('writer', 'admin', false), ('reader', 'read', true), ('reader', 'write', false), ('reader', 'delete', false), ('reader', 'bulk', false), ('reader', 'search', true), ('reader', 'admin', false)) t(role, action, allowed)")
+def roles_allow(spark, d):
+    def may(role, action):
+        try:
+            governance.require(role, action)
+        except PermissionDenied:
+            return False
+        return True
+
+    return spark.createDataFrame([(r, a, may(r, a)) for r in ("admin", "writer", "reader") for a in ("read", "write", "delete", "bulk", "search", "admin")], "role string, action string, allowed boolean")
+
+
+_RECORDS_SQL = "(SELECT user_id, event_type, event_id, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS DOUBLE) AS x FROM events)"
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type || ' ' || props, event_id) AS value FROM events GROUP BY user_id")
+def stream_text_replica(spark, d):
+    """Text records applied as a stream, a few files a batch, to a text index."""
+    where, e = f"{_shared(spark)}/texts-{uuid4().hex}", _read(spark, d, "events")
+    data = F.encode(F.concat(F.col("user_id").cast("string"), F.lit("\u0000"), F.col("event_type"), F.lit(" "), F.col("props")), "UTF-8")
+    e.select((F.col("event_id") + 1).alias("lsn"), data.alias("data")).repartitionByRange(4, "lsn").write.parquet(f"{where}/log")
+    index = TextIndex(spark, f"{where}/index")
+    replica.apply_texts(replica.source(spark, f"{where}/log", "lsn long, data binary"), index, f"{where}/checkpoint").awaitTermination()
+    return index.rows()
+
+
+@query(f"SELECT key, x AS min_x FROM (SELECT key, x, arg_max(event_type, event_id) AS last FROM {_RECORDS_SQL} GROUP BY key, x) WHERE last <> 'error'")
+def stream_spatial_replica(spark, d):
+    """Rectangle records applied as a stream to a rectangle index: the last change of each counts."""
+    where, e = f"{_shared(spark)}/rects-{uuid4().hex}", _read(spark, d, "events")
+    x = F.col("user_id").cast("double")
+    body = F.to_json(F.struct(x.alias("min_x"), F.lit(0.0).alias("min_y"), x.alias("max_x"), F.lit(1.0).alias("max_y"), F.col("user_id").cast("string").alias("data_id")))
+    kind = F.when(F.col("event_type") == "error", "RTreeDelete").otherwise("RTreeInsert")
+    e.select((F.col("event_id") + 1).alias("lsn"), kind.alias("type"), F.encode(body, "UTF-8").alias("data")).repartitionByRange(4, "lsn").write.parquet(f"{where}/log")
+    index = SpatialIndex(spark, f"{where}/index")
+    replica.apply_rects(replica.source(spark, f"{where}/log", "lsn long, type string, data binary"), index, f"{where}/checkpoint").awaitTermination()
+    return index.rows().select("key", "min_x")
+
+
+@query(f"SELECT key, CASE WHEN slot <= 9999 THEN 'n2' ELSE 'n3' END AS primary_node FROM (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 16384 AS slot FROM customer)")
+def cluster_moves(spark, d):
+    """Nodes added, ranges assigned, one moved step by step, a node removed; then the node of every customer's slot."""
+    c = Cluster(spark, f"{_shared(spark)}/cluster-{uuid4().hex}")
+    for n in ("n1", "n2", "n3"):
+        c.add_node(n, f"{n}:7000")
+    c.assign(0, 9999, "n1", ("n2",))
+    c.assign(10000, 16383, "n3")
+    c.begin_move(0, 9999, "n2")
+    while c.advance_move(0, 9999) != "DONE":
+        pass
+    c.remove_node("n1")
+    keys = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), (F.col("c_custkey") % slots.FNV_SLOTS).cast("int").alias("slot"))
+    return routing.ranged(keys, c.shard_map()).select("key", F.col("primary").alias("primary_node"))
