@@ -1,24 +1,36 @@
 """N-gram Jaccard self-join: rare-first prefix filtering with length, positional and suffix filters.
 
 A document is the set of its distinct k-word shingles. One global order puts
-rare shingles first: by the frequencies of their words, from a table of fixed size
-over hash buckets that counts every word of every document, then by the hash. Any two sets with Jaccard of at least t share a
+rare shingles first: those last whose hash bucket stands out of the mean of all, then
+by the frequencies of their words, from tables of fixed size over hash buckets that count
+every shingle and word of every document, then by the hash. Any two sets with Jaccard of at least t share a
 shingle among the first n - ceil(t n) + 1 of either, so only these prefixes
 are joined. Equal sets are folded before the join and unfolded after it.
 
 Lists are split by set size first, so that the length filter holds before any
-pair is made. A posting list isn't expanded into its pairs. Each round compares one head of
-a list with the other members; links found join components, and only lists
-that still hold more than one component go on. What few rounds leave is joined
-pair by pair, over members of different components alone. Every pair of a
-posting list is thus either compared or already known to be connected, so the
-components are those of all links.
+pair is made. A posting list isn't expanded into its pairs: each round compares
+some heads of a list with its other members, one in the first round, then of those that aren't of
+the list's largest component, a number that grows eightfold; a pair that
+shares the list before as well waits for that one. Links found join components, and only lists that still hold
+more than one component go on, without their heads, until none is left. Long
+lists that outlive two rounds hold texts that are unlike but for a common
+shingle. Similar sets share two shingles of prefixes longer by one, so such a
+list is split by every other shingle of these.
+Every pair of a posting list is thus either compared, already known to be
+connected, or in a list of two shingles, so the components are those of all links.
+
+What passes the length and positional filters meets the suffix filter: counts
+of the sets by the top bits of their shingles, whose distance bounds the
+difference of the sets from below; after the first round, whether finer counts
+are odd is looked at in the join itself. Only then are whole sets made, of the
+documents in such pairs alone, and each pair is verified once.
 
 Nulls: a null text is an empty one; a null id is left out of the join and has
 no component of its own (null). Empty sets link with nothing. Rows of one id
 are one document, linked with whatever one of its texts is linked with, and
 give a row each. Other columns of the input are ignored. Empty tables give
-empty results.
+empty results. Texts of any length are taken whole, one that is longer than a
+block of work alone. Ties of shingles are ordered by hash.
 """
 
 from __future__ import annotations
@@ -28,22 +40,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
 from .scratch import Scratch
+from .sieve import sieve, sifted
 from .sums import dense_sum
 
-#: Buckets of the word frequency table, 2 bytes each: its size is fixed whatever the input.
+#: Buckets of the tables of word and shingle frequencies, 2 bytes each: their size is fixed whatever the input.
 BUCKET_BITS = 22
-#: Counts of a set by the top bits of its shingles, 8 bits each: the suffix filter's partition.
-SUFFIX_PARTS = 8
-#: Rounds of heads, and how many times the posting rows the pairs left may number before another round is run.
-ROUNDS, REST = 8, 16
-#: Bits of the sieve of ids that a text is read again for.
-SIEVE_BITS = 24
+#: Counts of a set by the top bits of its shingles, 8 bits each, and whether finer counts are odd: the suffix filter's partitions.
+PART_BITS, ODD_BITS = 7, 8
+ODD = [f"odd{i}" for i in range((1 << ODD_BITS) // 64)]
+#: Heads of a list in the second round, and how many times more in each after it.
+HEADS, MORE = 16, 8
+#: Members beside the largest component beyond which a list is split by a second shingle after two rounds.
+SPLIT = 1 << 14
 
 
 def _sets(block: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -54,7 +68,7 @@ def _sets(block: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
 
 
 def _ranked(block: pa.RecordBatch, column: str, k: int, rank: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sets with how common their shingles are: the sum of their words' log frequencies."""
+    """Sets with how common their shingles are: first by what stands out of the shingles' buckets, then by the sum of their words' log frequencies."""
     words = X.Words(block.column(column))
     hashes = words.hashes()
     common = rank[(hashes >> X.U(64 - bits)).astype(np.int64)].astype(np.int32)
@@ -62,17 +76,30 @@ def _ranked(block: pa.RecordBatch, column: str, k: int, rank: np.ndarray, bits:
         s, at = np.unique(X.shingles(hashes[a:b], k), return_index=True)
         width = min(k, b - a)
         total = np.concatenate([[0], np.cumsum(common[a:b])])
-        yield s, total[at + width] - total[at]
+        yield s, rank[(1 << bits) + (s >> X.U(64 - bits)).astype(np.int64)].astype(np.int32) * (1 << 16) + total[at + width] - total[at]
 
 
-def _frequencies(docs: DataFrame, bits: int) -> np.ndarray:
-    """16 times the logarithm to base 2 of how often words of a hash bucket occur, over all documents."""
+def _frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """16 times the logarithm to base 2 of how often words of a hash bucket occur, and then of shingles, over all documents.
+
+    A bucket of shingles holds many of them; only by how much it exceeds four times the mean counts.
+    """
 
     def codes(batch):
         for block in X.blocks([batch], "text"):
-            yield (X.Words(block.column("text")).hashes() >> X.U(64 - bits)).astype(np.int64)
+            words = X.Words(block.column("text"))
+            h = words.hashes()
+            yield (h >> X.U(64 - bits)).astype(np.int64)
+            many = [X.shingles(h[a:b], k) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield (1 << bits) + (np.concatenate(many) >> X.U(64 - bits)).astype(np.int64)
 
-    return np.round(16 * np.log2(1.0 + dense_sum(docs.select("text"), codes, 1 << bits))).astype(np.int16)
+    out = dense_sum(docs.select("text"), codes, 2 << bits, final=lambda n: np.round(16 * np.log2(n + 1.0)).astype(np.int16))
+    held = out[1 << bits :]
+    kinds, n = np.unique(held, return_counts=True)
+    mean = float((n * (2.0 ** (kinds / 16) - 1)).sum() / len(held))
+    held -= np.int16(round(16 * np.log2(4 * max(mean, 1))))
+    np.maximum(held, 0, out=held)
+    return out
 
 
 def least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -81,13 +108,16 @@ def least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataFrame:
+    """Of each row the set's size, two hashes, counts by part, odd counts, and the prefix with one shingle more, rarest first."""
+
     def run(batches):
         rank = freq.value
         for block in X.blocks(batches, "text"):
-            rows = {"id": block.column("id"), "n": [], "fp": [], "fp2": [], "parts": [], "prefix": []}
+            rows: dict[str, list] = {"n": [], "fp": [], "fp2": [], "parts": [], "prefix": []}
+            odd = []
             for s, f in _ranked(block, "text", k, rank, bits):
                 n = len(s)
-                width = int(n - least(np.int64(n), percent) + 1) if n else 0
+                width = min(n, int(n - least(np.int64(n), percent) + 2))
                 near = np.argpartition(f, width - 1) if 0 < width < n else np.arange(n)
                 if n:
                     edge = f[near[width - 1]]
@@ -96,56 +126,60 @@ def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataF
                 rows["n"].append(n)
                 rows["fp"].append(int(X.signed(np.bitwise_xor.reduce(X.mix(s), keepdims=True))[0]) if n else None)
                 rows["fp2"].append(int(X.signed(np.add.reduce(X.mix(s ^ X.U(0x5BD1E995)), keepdims=True))[0]) if n else None)
-                parts = np.bincount((s >> X.U(61)).astype(np.int64), minlength=SUFFIX_PARTS) if n else np.zeros(8, np.int64)
-                rows["parts"].append(int((parts % 256).astype(np.uint8).view(np.int64)[0]))
+                rows["parts"].append(np.bincount((s >> X.U(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS).astype(np.uint8).tobytes() if n else None)
                 rows["prefix"].append(X.signed(s[order]))
-            yield pa.RecordBatch.from_arrays(
-                [rows["id"].cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["fp"], pa.int64()), pa.array(rows["fp2"], pa.int64()), pa.array(rows["parts"], pa.int64()), pa.array(rows["prefix"], pa.list_(pa.int64()))],
-                ["id", "n", "fp", "fp2", "parts", "prefix"],
-            )
+                odd.append(np.packbits(np.bincount((s >> X.U(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS).astype(np.uint8) & 1).view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            odds = [pa.array(np.ascontiguousarray(c)) for c in np.array(odd, np.int64).reshape(-1, len(ODD)).T]
+            yield pa.RecordBatch.from_arrays([block.column("id").cast(pa.int64()), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)), *odds], ["id", *rows, *ODD])
 
-    return docs.mapInArrow(run, "id long, n long, fp long, fp2 long, parts long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, fp long, fp2 long, parts binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (X.mix(ids.astype(X.U)) >> X.U(64 - SIEVE_BITS)).astype(np.int64)
+def _alpha(n, m, percent: int):
+    """The intersection that sets of n and m need: ceil(percent (n + m) / (100 + percent))."""
+    return F.floor((percent * (n + m) + 99 + percent) / F.lit(100 + percent)).cast("long")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size sieve of ids: what it lets through is joined exactly afterwards."""
+def _near(percent: int):
+    """Length and positional filter on rows with n, at and h_n, h_at.
 
-    def mark(batches):
-        bits = np.zeros(1 << SIEVE_BITS, bool)
-        for batch in batches:
-            bits[_slot(batch.column("id").to_numpy())] = True
-        part = np.packbits(bits).reshape(64, -1)
-        at = np.flatnonzero(part.any(1))
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "bits": pa.array([part[i].tobytes() for i in at], pa.binary())})
-
-    def join(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << SIEVE_BITS) // 512, np.uint8)
-        for t in tables:
-            for b in t.column("bits").to_pylist():
-                total |= np.frombuffer(b, np.uint8)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([key[0].as_py()], pa.int32()), "bits": [total.tobytes()]})
-
-    out = np.zeros((64, (1 << SIEVE_BITS) // 512), np.uint8)
-    for r in ids.mapInArrow(mark, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary").collect():
-        out[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
-
-
-def _filters(percent: int):
-    """Length, positional and suffix filter on rows with n, at, parts and h_n, h_at, h_parts."""
-    need = F.ceil(F.col("n") + F.col("h_n")) * percent
-    alpha = F.ceil(need / F.lit(100 + percent).cast("double") - 1e-9)
+    Of a pair's rows the one of its first common shingle counts: nothing before it is shared, so all of the
+    intersection is from there on. Rows of later shingles may pass or not.
+    """
     length = (F.col("n") * 100 >= F.col("h_n") * percent) & (F.col("h_n") * 100 >= F.col("n") * percent)
-    position = F.least(F.col("n") - F.col("at"), F.col("h_n") - F.col("h_at")) + F.least(F.col("at"), F.col("h_at")) >= alpha
-    apart = F.lit(0)
-    for i in range(SUFFIX_PARTS):
-        d = F.abs(F.shiftrightunsigned("parts", 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned("h_parts", 8 * i).bitwiseAND(F.lit(255)))
-        apart = apart + F.least(d, 256 - d)
-    return length & position & (apart <= F.col("n") + F.col("h_n") - 2 * alpha)
+    return length & (F.least(F.col("n") - F.col("at"), F.col("h_n") - F.col("h_at")) >= _alpha(F.col("n"), F.col("h_n"), percent))
+
+
+def _first():
+    """That a pair doesn't share the live list before this one as well, in which it is compared.
+
+    Of a pair's live lists the first one always passes, so it is compared there, at the latest when one of both
+    is a head of it. Copies share most of their lists in long runs and are compared once a run.
+    """
+    return F.coalesce(F.col("before") != F.col("h_before"), F.lit(True))
+
+
+def _even(percent: int):
+    """Suffix filter on rows with odd counts by part: each that differs stands for a shingle of one set alone."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ODD), F.lit(0))
+    return apart <= F.col("n") + F.col("h_n") - 2 * _alpha(F.col("n"), F.col("h_n"), percent)
+
+
+def _suffix(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts by part differ by no more than similar sets can."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (X.raw(batch.column(c))[0].reshape(-1, 1 << PART_BITS).astype(np.int16) for c in ("x", "y"))
+            d = np.abs(x - y)
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            alpha = -(-percent * n // (100 + percent))
+            keep = np.minimum(d, 256 - d).sum(1, dtype=np.int64) <= n - 2 * alpha
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    x, y = (counts.select(F.col("id").alias(i), F.col("n").alias(n), F.col("parts").alias(s)) for i, n, s in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +198,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bits: int = BUCKET_BITS) -> DataFrame:
+def _contracted(labels: DataFrame | None, found: DataFrame, tmp: Scratch, turn: int) -> DataFrame:
+    """Labels (id, component_id) of all linked so far: the links just found join the components there are."""
+    if labels is None:
+        return components(found, tmp, "cc-0")
+    if found.isEmpty():
+        return labels
+    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+    known = labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component_id")))
+    known = tmp.cut(known, f"known-{turn}")
+    a, b = (known.select(F.col("id").alias(i), F.col("component_id").alias(c)) for i, c in (("a", "x"), ("b", "y")))
+    merged = components(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")), tmp, f"cc-{turn}")
+    merged = merged.select(F.col("id").alias("component_id"), F.col("component_id").alias("new"))
+    return tmp.cut(known.join(merged, "component_id", "left").select("id", F.coalesce("new", "component_id").alias("component_id")), f"labels-{turn}")
+
+
+def _alive(lists: DataFrame) -> DataFrame:
+    """The members of lists that hold more than one component, with their list's largest one and how many members are of others."""
+    each = lists.groupBy("token", "component_id").agg(F.count("*").alias("k"))
+    state = each.groupBy("token").agg(F.max_by("component_id", F.struct("k", "component_id")).alias("largest"), (F.sum("k") - F.max("k")).alias("others"))
+    return lists.join(state.where("others > 0"), "token")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bits: int = BUCKET_BITS, split: int = SPLIT) -> DataFrame:
     """Documents whose k-word shingle sets have a Jaccard similarity of percent/100 or more, as components.
 
     Returns id, n_shingles, component_id (the smallest id reachable by links;
@@ -174,84 +230,85 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     tmp = Scratch(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    freq = spark.sparkContext.broadcast(_frequencies(docs, bits))
-    sig = tmp.cut(_signatures(docs, freq, k, percent, bits), "sig")
-
-    keyed = sig.where("id is not null and n > 0")
-    folded = keyed.groupBy("fp", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    folded = tmp.cut(folded, "folded")
-    reps = keyed.join(folded.select("fp", "fp2", F.col("rep").alias("id")), ["fp", "fp2", "id"], "left_semi")
-    post = tmp.cut(reps.select("id", "n", "parts", F.posexplode("prefix").alias("at", "token")), "post")
+    freq = spark.sparkContext.broadcast(_frequencies(docs, k, bits))
+    wide = tmp.cut(_signatures(docs, freq, k, percent, bits), "wide")
+    freq.destroy()
+    sig = tmp.cut(wide.select("id", "n", "fp", "fp2"), "sig")
+    keyed = wide.where("id is not null and n > 0")
+    folded = keyed.groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("n_copies"), F.min_by(F.struct("parts", "prefix", *ODD), "id").alias("x"))
+    folded = tmp.cut(folded.select("id", "n", "fp", "fp2", "n_copies", "x.*"), "folded")
+    tmp.drop("wide")
+
+    # Ids with more than one text join the copies of all of them.
+    several = sig.where("id is not null and n > 0").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("fp2").alias("lo2"), F.max("fp2").alias("hi2"))
+    several = several.where("lo <> hi or lo2 <> hi2").select("id")
+    same_id = tmp.cut(sig.join(several, "id").join(folded.select("fp", "fp2", F.col("id").alias("b")), ["fp", "fp2"]).select(F.col("id").alias("a"), "b").distinct(), "same_id")
+
+    post = folded.select("id", "n", F.posexplode("prefix").alias("at", "token")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     often = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     post = tmp.cut(post.join(often.select("token"), "token"), "often")
+    tmp.sweep()
     # Similar sets differ in size by one step of a geometric scale at most: a list is one step and the next.
     step = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.0001)).cast("int") if percent < 100 else F.col("n").cast("int")
-    post = post.select("id", "n", "parts", "at", "token", F.explode(F.array(step, step - 1)).alias("step"))
-    post = post.withColumn("token", F.xxhash64("token", "step")).drop("step")
-    often = post.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    post = tmp.cut(post.join(often.select("token"), "token"), "lists")
-    tmp.drop("post", "often")
-    wanted = tmp.cut(post.select("id").distinct(), "wanted")
-    sieve = spark.sparkContext.broadcast(_bitmap(wanted))
-
-    def maybe(batches):
-        bits = sieve.value
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_slot(batch.column("id").to_numpy())]))
-
-    def make(batches):
-        for block in X.blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([s.tobytes() for s in _sets(block, "text", k)], pa.binary())], ["id", "s"])
-
-    some = docs.where("id is not null").mapInArrow(maybe, docs.schema)
-    sets = tmp.cut(some.join(wanted, "id", "left_semi").mapInArrow(make, "id long, s binary"), "sets")
-    tmp.drop("wanted")
-
-    links = None
-    labels = None
-    for turn in range(ROUNDS):
-        if labels is not None:
-            seen = labels.select("id", "component_id")
-            post_l = post.drop("component_id").join(seen, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    post = post.select("id", "n", "at", F.col("token").alias("shingle"), F.explode(F.array(step, step - 1)).alias("step"))
+    post = post.withColumn("token", F.xxhash64("shingle", "step")).withColumn("component_id", F.col("id"))
+    live = tmp.cut(_alive(post), "live-0")
+    tmp.drop("often")
+
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+        pairs = tmp.cut(_suffix(pairs, folded, percent), f"pairs-{turn}")
+        wanted = tmp.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"wanted-{turn}")
+        bits = spark.sparkContext.broadcast(sieve(wanted))
+
+        def make(batches):
+            for batch in batches:
+                batch = batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy())))
+                for block in X.blocks([batch], "text"):
+                    yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([s.tobytes() for s in _sets(block, "text", k)], pa.binary())], ["id", "s"])
+
+        sets = docs.where("id is not null").mapInArrow(make, "id long, s binary").join(wanted, "id", "left_semi")
+        found = tmp.cut(_verify(pairs, tmp.cut(sets, f"sets-{turn}"), percent), f"found-{turn}")
+        bits.destroy()
+        tmp.drop(f"sets-{turn}", f"pairs-{turn}", f"wanted-{turn}")
+        return found
+
+    labels, turn = None, 0
+    while turn == 0 or not live.isEmpty():
+        if turn == 2:
+            live = tmp.cut(_split(live, folded, split), "split")
+        if turn == 0:
+            first = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n", "at", "component_id")).alias("h"))
+            head = tmp.cut(first.select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "n", "at", "component_id"))), "head-0")
+            rest = live.join(head.select("token", F.col("h_id").alias("id")), ["token", "id"], "left_anti")
         else:
-            post_l = post.withColumn("component_id", F.col("id"))
-        state = post_l.groupBy("token").agg(F.count("*").alias("c"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-        live = post_l.join(state.where("c > 1 and lo <> hi").select("token"), "token", "left_semi")
-        last = turn == ROUNDS - 1
-        if turn:
-            live = tmp.cut(live, f"live-{turn}")
-            sizes = live.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-            if not sizes["rows"]:
-                break
-            last = last or sizes["pairs"] <= REST * sizes["rows"]
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "n", "at", "parts", "component_id")
-        if last:
-            head = live.select("token", *(F.col(c).alias(f"h_{c}") for c in ("id", "n", "at", "parts", "component_id")))
-            pairs = live.join(head, "token").where("id < h_id and component_id <> h_component_id")
-        else:
-            head = live.groupBy("token").agg(F.min(order).alias("h")).select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "n", "at", "parts", "component_id")))
-            head = tmp.cut(head, f"head-{turn}")
-            pairs = live.join(head, "token").where("id <> h_id and component_id <> h_component_id")
-        pairs = pairs.where(_filters(percent)).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
-        found = tmp.cut(_verify(tmp.cut(pairs, f"pairs-{turn}"), sets, percent), f"found-{turn}")
-        links = found if links is None else links.union(found)
-        new = components(links, tmp, f"cc-{turn}")
-        labels = new
-        if last:
-            break
-        rest = live.join(head.select("token", F.col("h_id").alias("id")), ["token", "id"], "left_anti")
-        post = tmp.cut(rest.drop("component_id"), f"lists-{turn}")
-        tmp.drop(f"live-{turn}", f"head-{turn}", f"pairs-{turn}", "lists" if not turn else f"lists-{turn - 1}")
-    tmp.drop("sets", "lists")
-    freq.unpersist()
-    sieve.unpersist()
+            # All but the members of the largest component, as soon as they are few: then nothing of the list is left.
+            chosen = (F.col("component_id") != F.col("largest")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 31)) * F.col("others") < F.lit(HEADS * MORE ** (turn - 1) << 31))
+            head = live.where(chosen).select("token", *(F.col(c).alias(f"h_{c}") for c in ("id", "n", "at", "component_id", "before", *ODD)))
+            rest = live.where(~chosen)
+        pairs = live.join(head, "token").where("id <> h_id and component_id <> h_component_id").where(_near(percent) & _even(percent) & _first() if turn else _near(percent))
+        found = verified(pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), turn)
+        labels = _contracted(labels, found if turn else found.union(same_id), tmp, turn)
+        turn += 1
+        rest = rest.drop("component_id", "largest", "others", "before").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        rest = _alive(rest).withColumn("before", F.lag("token").over(Window.partitionBy("id", "step").orderBy("at", "token")))
+        live = tmp.cut(rest.join(folded.select("id", *ODD), "id") if turn == 1 else rest, f"live-{turn}")
+        tmp.drop(f"live-{turn - 1}", "head-0", "split", f"found-{turn - 1}")
 
     # A chain of folded sets: the component of the representative, which is the smallest id of its copies.
-    named = folded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
+    named = folded.select(F.col("id").alias("rep"), "fp", "fp2", "n_copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("fp", "fp2", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
     out = sig.join(named, ["fp", "fp2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
+def _split(live: DataFrame, folded: DataFrame, split: int) -> DataFrame:
+    """Lists with more than ``split`` members beside the largest component, as lists of two shingles: similar sets share a second one in prefixes longer by one."""
+    many = live.where(F.col("others") > split).drop("largest", "others")
+    many = many.join(folded.select("id", F.explode("prefix").alias("second")), "id").where("second <> shingle")
+    many = _alive(many.withColumn("token", F.xxhash64("token", "second")).withColumn("before", F.lit(None).cast("long")).drop("second"))
+    return live.where(F.col("others") <= split).unionByName(many)
+
+
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of ``documents`` whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
