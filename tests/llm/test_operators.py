@@ -234,6 +234,66 @@ def test_class_lm(spark, docs, empty):
     assert class_lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_scores_are_the_models(spark, docs, monkeypatch):
+    """Probabilities computed again, token by token, from the counts and classes of the words."""
+    from pyspark.sql import functions as F
+
+    seen, coded = {}, class_lm._coded
+
+    def spy(tmp, docs, asked, classed, n_classes, parts, totals, discount, name):
+        seen.update(n=n_classes, d=discount, words={})
+        for r in classed.rows.collect():
+            h, c, cls = classed.of({x: pa.scalar(bytes(r[x]), pa.binary()) for x in ("h", "c", "class")})
+            seen["words"].update(zip(h.tolist(), zip(c.tolist(), cls.tolist(), strict=True), strict=True))
+        return coded(tmp, docs, asked, classed, n_classes, parts, totals, discount, name)
+
+    monkeypatch.setattr(class_lm, "_coded", spy)
+    got = {r.id: r for r in class_lm.score(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True)), frequent=30, classes=5, lookup_bytes=2000).collect()}
+    words_, n, d = seen["words"], seen["n"], seen["d"]
+    end = int(class_lm.END)
+    ids = lambda t: [*(X.word_hash(w.encode()) for w in words(t)), end]
+    both = [*DOCS, (None, "no id here at all")]
+    own = Counter(h for i, t in both if i is None or i % 7 != 2 for h in ids(t))
+    assert {h: c for h, (c, _) in words_.items()} == own
+    tri, mass, kinds = np.zeros((n, n, n)), np.zeros(n), np.zeros(n)
+    for i, t in both:
+        if i is None or i % 7 != 2:
+            a = b = words_[end][1]
+            for h in ids(t):
+                c = words_[h][1]
+                tri[a, b, c] += 1
+                a, b = b, c
+    for c, k in words_.values():
+        mass[k] += c
+        kinds[k] += 1
+
+    def chance(a, b, c):
+        two = tri.sum(0)
+        held = two.sum(0) > 0
+        uni = (two[:, c].sum() + 0.5) * held[c] / (two.sum() + 0.5 * held.sum())
+        k = max(1, (two[b] > 0).sum())
+        low = (two[b, c] + k * uni) / (two[b].sum() + k)
+        k = max(1, (tri[a, b] > 0).sum())
+        return (tri[a, b, c] + k * low) / (tri[a, b].sum() + k)
+
+    def word(a, b, h):
+        if h in words_:
+            c, k = words_[h]
+            return chance(a, b, k) * (c - d) / mass[k]
+        return sum(chance(a, b, k) * d * kinds[k] / max(mass[k], 1) for k in range(n))
+
+    for i, t in both:
+        a = b = words_[end][1]
+        total = 0.0
+        for h in ids(t):
+            total += math.log10(word(a, b, h))
+            if h in words_:
+                a, b = b, words_[h][1]
+        assert math.isclose(total, got[i].score, rel_tol=1e-9), i
+    for a, b in ((0, 0), (n - 1, 1), (2, n // 2)):
+        assert math.isclose(sum(word(a, b, h) for h in words_) + word(a, b, -1), 1)
+
+
 def test_rare_words_are_exchanged(spark):
     from pyspark.sql import functions as F
 
@@ -282,7 +342,7 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200, 40])
 def test_decontaminate(spark, docs, empty, block_bytes):
     text = dict(DOCS)
     long = text[3 + 60] or ""
@@ -307,8 +367,9 @@ def test_decontaminate(spark, docs, empty, block_bytes):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
     assert decontaminate.hits(empty, bench).count() == 0
     assert decontaminate.digest(decontaminate.hits(docs, bench.limit(0))).where("n_hit > 0 or contaminated").count() == 0
-    left = decontaminate.remove(docs, bench)
+    left = decontaminate.remove(docs, bench, block_bytes=block_bytes)
     assert left.columns == docs.columns
+    assert sorted(left.collect(), key=str) == sorted(decontaminate.remove(docs, bench).collect(), key=str)
     clean = {i for i in rows if rows[i].n_hit == 0}
     kept = {r.doc_id: r for r in left.collect()}
     assert clean <= set(kept) and all(kept[i].text == text.get(i, "no id here at all") for i in clean)
@@ -352,6 +413,15 @@ def test_slots_are_the_text_of_articles_too():
     assert texts(copies) == ["one and the same"] * 3
 
 
+def test_names_choose_among_slots():
+    def text(source):
+        return html_extract.extract(html_extract.Page(source), {}, False)
+
+    assert text("<div id=content><p>body one</p></div><article class=comment><p>reader comment</p></article>") == "body one"
+    assert text("<article class='post with-sidebar'><p>a</p><section class='related-work'><p>b</p></section><div class='related-posts'><p>c</p></div></article>") == "a b"
+    assert text("<article class='ad'><p>buy</p></article><article id=story><p>a</p><div class='share-bar'>x</div></article>") == "a"
+
+
 def test_html_table(spark):
     rows = [(i, f"https://h{i % 2}.example/{i}", f"<html><body><nav><ul><li>m</li></ul></nav><article><h1>t{i}</h1><p>x  {i}</p></article><footer>f</footer></body></html>") for i in range(130)]
     rows += [(200, None, None), (201, "http://a", ""), (201, "http://a", ""), (None, "x", "<p>q")]
@@ -416,6 +486,27 @@ def test_ngram_join(spark, docs, empty, k, percent):
     assert ngram_join.similar(empty, k=k, percent=percent).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rows = [(5, "a b c d e"), (5, "f g h i j"), (3, "f g h i j"), (9, "A B C D E"), (7, "k l m")]
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90).collect()
+    assert sorted((r.id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
+@pytest.mark.parametrize("split", [4, 1 << 14])
+def test_common_shingle_in_unlike_texts(spark, monkeypatch, split):
+    """A passage that hundreds of texts share, a few of them alike in the rest too; long lists may be split."""
+    monkeypatch.setattr(ngram_join, "HEADS", 2)
+    monkeypatch.setattr(ngram_join, "MORE", 2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{passage} u{i} v{i} w{i} x{i}" for i in range(300)] + [f"{passage} u{i} v{i} w{i} y{i}" for i in range(0, 300, 50)]
+    texts += [f"{passage} {i}" for i in range(40)]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    want = roots(len(sets), links)
+    got = ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=90, split=split).collect()
+    assert {r.id: r.component_id for r in got} == dict(enumerate(want))
+
+
 # 8
 
 
@@ -518,6 +609,41 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert none == [] and token_output.read(spark, f"file://{tmp_path}/none", none).count() == 0
 
 
+# All
+
+
+def test_long_and_repeated_rows(spark, tmp_path):
+    """A text beyond a block of work, in two rows of one id, beside a short one."""
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 6))) for _ in range(180_000))
+    assert len(long) > X.BLOCK_BYTES
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "a b c d e f g h"), (3, long.upper())], "doc_id long, text string").repartition(2)
+    path = tokenizer_path("word_bpe_49k.json")
+    ids = [*Encoder(path).tokenizer.encode(long, add_special_tokens=False).ids, 1]
+    shards = f"file://{tmp_path}/ids"
+    back = token_output.read(spark, shards, token_output.write(docs, path, shards)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in back)[:2] == [(1, len(ids))] * 2
+    assert {r.ids_crc32 for r in back if r.doc_id == 1} == {zlib.crc32(np.array(ids, "<u4").tobytes())}
+    from pyspark.sql import functions as F
+
+    edits = F.array(F.struct(F.lit(len(long) // 2).alias("start"), F.lit(len(long) // 2 + 3).alias("stop"), F.lit("x").alias("new")))
+    counted = {r.id: r for r in token_counts.count_edited(docs.withColumn("edits", edits), path).collect()}
+    half = long[: len(long) // 2] + "x" + long[len(long) // 2 + 3 :]
+    assert (counted[1].n_tokens, counted[1].n_tokens_edited) == (len(ids) - 1, len(Encoder(path).tokenizer.encode(half, add_special_tokens=False).ids))
+    assert counted[1].n_bytes_encoded < 2000
+    scored = class_lm.score(docs, F.col("doc_id") != 2, frequent=50).collect()
+    assert sorted((r.id, r.n_tokens, r.n_known) for r in scored) == [(1, 180_001, 180_001)] * 2 + [(2, 9, 1), (3, 180_001, 180_001)]
+    linked = {(r.id, r.component_id, r.n_copies) for r in ngram_join.similar(docs).collect()}
+    assert linked == {(1, 1, 3), (2, 2, 1), (3, 1, 3)}
+    bench = spark.createDataFrame([(9, " ".join(long.split()[1000:1010]))], "item_id long, text string")
+    hits = decontaminate.digest(decontaminate.hits(docs, bench)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in hits) == [(1, 180_000, 10)] * 2 + [(2, 8, 0), (3, 180_000, 10)]
+    assert {r.id: [tuple(s) for s in r.removable] for r in suffix_dedup.repeats(docs).collect()} == {1: [], 3: [(0, 180_000)]}
+    assert packing.pack(packing.pieces(docs, path)).groupBy().sum("length").first()[0] == 3 * len(ids) + len(Encoder(path).tokenizer.encode("a b c d e f g h", add_special_tokens=False).ids) + 1
+    pages = spark.createDataFrame([(1, "http://a", f"<article><p>{long}</p></article>")] * 2 + [(2, "http://a", "<p>x</p>")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html_extract.main_text(pages).collect()) == [(1, long), (1, long), (2, "x")]
+
+
 # Pipeline
 
 
@@ -528,7 +654,10 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(6)
     fresh = [" ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(90)) for _ in range(5)]
     rows += [(600, fresh[0], 0), (601, fresh[0] + " tail", 0), (602, fresh[1], 0), (603, fresh[2] + " " + " ".join(fresh[1].split()[:60]), 0), (604, fresh[3] + " " + " ".join(fresh[4].split()[:20]), 0)]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    long = " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(130_000))
+    again = [(602, fresh[1], 0), (None, "a text without an id", 0), (605, long, 0)]  # the last beyond a block of work
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, found int, removable int, id int"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 2, 3) for i, t, _ in rows + again], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, _, y in rows if i < 150], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, fresh[4])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -541,9 +670,22 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         seen[name] = {r.doc_id: r for r in docs.collect()}
+        if name == "near_duplicates":
+            assert docs.where("doc_id = 602").count() == 1
+        if name != "packing":
+            assert seen[name][605].text == long and seen[name][None].text == "a text without an id"
     toxic = {i for i, _, y in rows if y}
     assert len(toxic & set(seen["toxicity"])) <= 3 and len(seen["toxicity"]) >= len(rows) - len(toxic) - 3
     assert {500, 501, 600, 602, 603, 604} <= set(seen["near_duplicates"]) and 601 not in seen["near_duplicates"]
     assert seen["repeats"][603].text == fresh[2] and seen["repeats"][602].text == fresh[1]
     assert seen["benchmark"][604].text == fresh[3]
     assert {r for r in seen["packing"]} == set(seen["benchmark"])
+
+
+def test_pipeline_without_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
