@@ -9,9 +9,12 @@ stands before and after each class is counted over the documents, sparse and
 by parts of the vocabulary, and each word moves to the class that raises the
 likelihood of the class bigrams most, given the classes of its neighbours and
 the moves before it in its part. A round that doesn't raise it is taken back
-and is the last. Words are 64-bit hashes; counts
-reach the documents block by block, through a join of each block's distinct
-words with the vocabulary, so no vocabulary is held in one place.
+and is the last.
+
+Words are 64-bit hashes, dealt to parts of the vocabulary. A block of
+documents asks each part for its distinct words, a row of packed numbers a
+part, and gets their places, classes or counts in the same order; no
+vocabulary is held in one place and nothing moves word by word.
 
     P(w | history) = P(class | last two classes) (c(w) - d) / N(class)
 
@@ -23,8 +26,10 @@ another.
 
 Nulls: a null text is an empty one: its one token is the end. A null id is
 learnt from and kept. Repeated rows count and are scored each. Where there is
-nothing to learn from, the score is the base score. Other columns are ignored;
-empty tables give empty results; very long texts are whole.
+nothing to learn from, the score is the base score. Ties: of words equally
+frequent the one of the least hash comes first, of classes equally good the
+first. Other columns are ignored; empty tables give empty results; very long
+texts are whole.
 """
 
 from __future__ import annotations
@@ -42,8 +47,8 @@ from .scratch import Scratch
 from .sums import dense_sum
 
 FREQUENT, CLASSES, SWEEPS, ROUNDS, DISCOUNT = 2000, 48, 6, 2, 0.75
-#: Distinct words of a part of the vocabulary about, whose moves are found together.
-PART_WORDS = 1 << 17
+#: Parts of the vocabulary grow as this power of the blocks, as vocabularies do with texts; moves of a part are found together.
+PART_POWER = 0.75
 #: Text bytes of a block of documents whose distinct words are looked up together.
 LOOKUP_BYTES = 8 << 20
 END = X.U(0x9D3F_0E5A_71C2_86B4)
@@ -191,9 +196,9 @@ class Transitions:
     @staticmethod
     def of(counts: np.ndarray, unseen: np.ndarray) -> Transitions:
         """counts: of class trigrams; unseen: the mass of each class that goes to the unknown type."""
-        n = counts.shape[0]
         two = counts.sum(0)
-        uni = (two.sum(0) + 0.5) / (two.sum() + 0.5 * n)
+        uni = two.sum(0) + 0.5 * (two.sum(0) > 0)  # a class without words gets nothing
+        uni = uni / max(uni.sum(), 1)
         kinds = (two > 0).sum(1, keepdims=True)
         p2 = (two + np.maximum(kinds, 1) * uni) / (two.sum(1, keepdims=True) + np.maximum(kinds, 1))
         kinds = np.maximum((counts > 0).sum(2, keepdims=True), 1)
@@ -215,6 +220,76 @@ def history(c: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return np.where(own >= 2, values[before], end), last
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8).tobytes()
+
+
+def _unpack(data: pa.Scalar, n: int) -> np.ndarray:
+    """The n numbers of ``_pack``."""
+    raw = data.as_buffer()
+    return np.frombuffer(raw, np.dtype(f"u{raw.size // n}")).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _array(data: pa.Scalar, kind=X.U) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), kind)
+
+
+class Block:
+    """Tokens of a block of documents as places among its distinct words, which are in order of their part and hash."""
+
+    def __init__(self, batches: list[pa.RecordBatch], parts: int):
+        hashes, sizes = [np.zeros(0, X.U)], [np.zeros(0, np.int64)]
+        for batch in X.blocks(batches, "text"):
+            h, first = tokens(batch.column("text"))
+            hashes.append(h)
+            sizes.append(np.diff(first))
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        part = (words % X.U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words, self.at = words[order], rank[at]
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        self.edge = np.searchsorted(part[order], np.arange(parts + 1))
+
+    def answer(self, table: pa.Table, *columns: str) -> list[np.ndarray]:
+        """Packed columns of the parts' answers, a number for each distinct word."""
+        order = np.argsort(table.column("part").to_numpy(), kind="stable")
+        sizes = table.column("many").to_numpy()[order]
+        if sizes.sum() != len(self.words):
+            raise ValueError("the answers are not those of this block's words")
+        out = []
+        for name in columns:
+            column = table.column(name).combine_chunks()
+            out.append(np.concatenate([np.zeros(0, np.int64), *(_unpack(column[int(i)], int(n)) for i, n in zip(order, sizes, strict=True))]))
+        return out
+
+
+@dataclass
+class Classed:
+    """Words of each part with their counts and classes, a row a part; the classes of the frequent words ``top`` are kept apart."""
+
+    rows: DataFrame
+    top: np.ndarray
+    own: np.ndarray
+
+    def of(self, row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, counts and classes of a part's row."""
+        h, c, cls = _array(row["h"]), _array(row["c"], np.int64), _array(row["class"], np.uint16).astype(np.int64)
+        return h, c, np.where(lookup(self.top, np.ones(len(self.top), bool), h, False), lookup(self.top, self.own, h, 0), cls)
+
+    def __getstate__(self):
+        return {"rows": None, "top": self.top, "own": self.own}
+
+
+CLASSED = "part int, h binary, c binary, class binary"
+
+
+def _row(table: pa.Table) -> dict[str, pa.Scalar] | None:
+    return {name: table.column(name)[0] for name in table.schema.names} if table.num_rows else None
+
+
 def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, rounds: int = ROUNDS, discount: float = DISCOUNT, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Scores of ``docs``, learnt from the rows where the column ``train`` holds.
 
@@ -224,118 +299,93 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tmp = Scratch(spark, "classlm")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
-    kind = docs.schema["id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // lookup_bytes))
+    parts = max(1, round(blocks**PART_POWER))
     docs = docs.withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    learning = docs.where("learn")
+
+    def ask(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(tables)
+        block = Block(batches, parts)
+        learn = np.concatenate([b.column("learn").to_numpy(zero_copy_only=False) for b in batches])
+        count = np.bincount(block.at, np.repeat(learn, np.diff(block.first)), len(block.words)).astype(np.int64)
+        rows = [(p, block.words[a:b].tobytes(), _pack(count[a:b])) for p, (a, b) in enumerate(zip(block.edge[:-1], block.edge[1:], strict=True)) if b > a]
+        blk = pa.array(np.full(len(rows), key[0].as_py()), pa.int64())
+        yield pa.RecordBatch.from_arrays([blk, pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["blk", "part", "h", "c"])
+
+    asked = tmp.cut(docs.groupBy("blk").applyInArrow(ask, "blk long, part int, h binary, c binary"), "asked")
+    tmp.sweep()
 
-    def distinct(key: tuple[pa.Scalar, ...], tables):
+    def collect(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, count = np.zeros(0, X.U), np.zeros(0, np.int64)
-        for block in X.blocks(tables, "text"):
-            h, first = tokens(block.column("text"))
-            learn = np.repeat(block.column("learn").to_numpy(zero_copy_only=False), np.diff(first))
-            u, at = np.unique(np.concatenate([every, h]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([count, learn]), len(u)).astype(np.int64)
-            every = u
-        yield pa.RecordBatch.from_pydict({"blk": pa.array(np.full(len(every), key[0].as_py(), np.int64)), "h": pa.array(X.signed(every)), "c": pa.array(count)})
-
-    asked = tmp.cut(docs.groupBy("blk").applyInArrow(_typed(distinct), "blk long, h long, c long"), "asked")
-    vocab = tmp.cut(asked.where("c > 0").groupBy("h").agg(F.sum("c").alias("c")), "vocab")
+        waiting, size = [], 0
+
+        def fold():
+            nonlocal every, count
+            every, count = _sum(np.concatenate([every, *(h for h, _ in waiting)]), np.concatenate([count, *(c for _, c in waiting)]))
+            waiting.clear()
+
+        for t in tables:
+            for h, c in zip(t.column("h"), t.column("c"), strict=True):
+                h = _array(h)
+                c = _unpack(c, len(h))
+                waiting.append((h[c > 0], c[c > 0]))
+                size += len(waiting[-1][0])
+                if size > 1 << 21:
+                    fold()
+                    size = 0
+        fold()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "h": [every.tobytes()], "c": [count.tobytes()], "n": pa.array([len(every)], pa.int64()), "total": pa.array([int(count.sum())], pa.int64())})
+
+    vocab = tmp.cut(asked.groupBy("part").applyInArrow(collect, "part int, h binary, c binary, n long, total long"), "vocab")
     tmp.sweep()
-    total, distinct_n = vocab.agg(F.sum("c"), F.count("*")).first()
-    total, distinct_n = int(total or 0), int(distinct_n)
-
-    top = vocab.orderBy(F.desc("c"), "h").limit(frequent).collect()
-    top_h = np.sort(np.array([r["h"] for r in top], np.int64).view(X.U))
-    m = len(top_h)
-    learning = docs.where("learn").select("text")
-    if m:
-        shared = spark.sparkContext.broadcast(top_h)
-
-        def pairs(batch):
-            for block in X.blocks([batch], "text"):
-                h, first = tokens(block.column("text"))
-                w = lookup(shared.value, np.arange(m), h, m)
-                end = lookup(shared.value, np.arange(m), np.array([END]), m)[0]
-                before = np.concatenate([[end], w[:-1]])
-                before[first[:-1]] = end
-                yield before * (m + 1) + w
-
-        bigrams = dense_sum(learning, pairs, (m + 1) ** 2).reshape(m + 1, m + 1)
-        cls = exchange(bigrams, classes)
-        k = int(cls.max()) + 1
-        vote = spark.sparkContext.broadcast((top_h, cls, votes(bigrams, cls)))
-
-        def ballots(batches):
-            keys, own, best = vote.value
-            every, count = np.zeros(0, X.U), np.zeros(0, np.int64)
-            word, chosen = np.zeros(0, X.U), np.zeros(0, np.int64)
-            for block in X.blocks(batches, "text"):
-                h, first = tokens(block.column("text"))
-                c = lookup(keys, own, h, k)
-                left, right = np.concatenate([[k], c[:-1]]), np.concatenate([c[1:], [k]])
-                left[first[:-1]] = lookup(keys, own, np.array([END]), k)[0]
-                tail = np.flatnonzero(c == k)
-                more = best[left[tail], np.minimum(right[tail], k)]
-                word, chosen = np.concatenate([word, h[tail]]), np.concatenate([chosen, more])
-                count = np.concatenate([count, np.ones(len(tail), np.int64)])
-                if len(word) > 1 << 21:
-                    word, chosen, count = _fold(word, chosen, count)
-                    if len(word) > 1 << 20:
-                        yield _ballots(word, chosen, count)
-                        word, chosen, count = word[:0], chosen[:0], count[:0]
-            if len(word):
-                yield _ballots(*_fold(word, chosen, count))
-
-        cast = learning.mapInArrow(ballots, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("n"))
-        tail = cast.groupBy("h").agg(F.max(F.struct("n", (-F.col("class")).alias("class"))).alias("x")).select("h", (k - F.col("x.class")).cast("int").alias("class"))
-        fixed = spark.createDataFrame(list(zip(X.signed(top_h).tolist(), cls.tolist(), strict=True)), "h long, class int")
-        vocab2 = tmp.cut(vocab.join(tail.union(fixed), "h"), "classed")
-        tmp.drop("vocab")
-        vocab2 = _exchanged(tmp, docs.where("learn").select("blk", "text"), asked.where("c > 0").select("blk", "h"), vocab2, top_h, 2 * k, distinct_n, rounds)
+    total, distinct_n = (int(x or 0) for x in vocab.agg(F.sum("total"), F.sum("n")).first())
+
+    def best(batches):
+        for batch in batches:
+            for h, c in zip(batch.column("h"), batch.column("c"), strict=True):
+                h, c = _array(h), _array(c, np.int64)
+                at = np.lexsort((h.view(np.int64), -c))[:frequent]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(X.signed(h[at])), "c": pa.array(c[at])})
+
+    head = vocab.select("h", "c").mapInArrow(best, "h long, c long").orderBy(F.desc("c"), "h").limit(frequent).collect()
+    top = np.sort(np.array([r["h"] for r in head], np.int64).view(X.U))
+    if len(top):
+        k, classed = _started(tmp, learning.select("text"), vocab, top, classes, parts)
+        n_classes = 2 * k
     else:
-        k = 0
-        vocab2 = vocab.withColumn("class", F.lit(0))
-    sums = {r["class"]: (r["n"], r["v"]) for r in vocab2.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    n_classes = max(1, 2 * k)
-    mass = np.array([sums.get(i, (0, 0))[0] for i in range(n_classes)], float)
-    kinds = np.array([sums.get(i, (0, 0))[1] for i in range(n_classes)], float)
-    unseen = discount * kinds / np.maximum(mass, 1)
-    answer = asked.select("blk", "h").join(vocab2, "h").select("blk", "h", "c", "class")
-    end_class = int(next((r["class"] for r in vocab2.where(F.col("h") == int(X.signed(np.array([END]))[0])).collect()), 0))
-    log_mass = np.log10(np.maximum(mass, 1))
+        n_classes, classed = 1, Classed(spark.createDataFrame([], CLASSED), top, np.zeros(0, np.int64))
+    least, before = -np.inf, None
+    for turn in range(rounds if len(top) else 0):
+        found, grid = _beside(tmp, learning.select("blk", "text"), asked, classed, n_classes, parts, f"beside-{turn}")
+        if likelihood(grid) <= least:
+            classed, before = before, None
+            break
+        least, before = likelihood(grid), classed
+        classed = _moved(tmp, found, classed, grid, parts, f"classed-{turn}")
+        tmp.drop(f"beside-{turn}", f"classed-{turn - 2}")
+    coded, unseen, end_class = _coded(tmp, docs, asked, classed, n_classes, parts, (total, distinct_n), discount, "coded")
 
-    def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("h").to_numpy().view(X.U)
-        order = np.argsort(keys)
-        keys, c_all, k_all = keys[order], right.column("c").to_numpy()[order], right.column("class").to_numpy()[order]
-        out = []
-        for block in X.blocks(left.combine_chunks().to_batches(), "text"):
-            h, first = tokens(block.column("text"))
-            c = lookup(keys, c_all, h, 0)
-            cls = lookup(keys, k_all, h, -1)
-            add = lambda x, first=first: np.add.reduceat(x, first[:-1])  # noqa: E731  every row has an end
-            emit = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9)) - log_mass[np.maximum(cls, 0)], 0.0)
-            base = np.log10((c + 1) / (total + distinct_n + 1))
-            own = [cls[a:b].astype(np.int16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            out.append(pa.RecordBatch.from_arrays([block.column("id"), block.column("learn"), pa.array(np.diff(first)), pa.array(add((c > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(emit)), pa.array(own, pa.binary())], names))
-        return pa.Table.from_batches(out, schema=None if out else _empty(block_schema))
-
-    names = ["id", "learn", "n_tokens", "n_known", "base_score", "emit", "classes"]
-    spec = f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, emit double, classes binary"
-    block_schema = spec
-    coded = tmp.cut(docs.groupBy("blk").cogroup(answer.groupBy("blk")).applyInArrow(code, spec), "coded")
-    tmp.drop("asked", "vocab", "classed", *(f"classed-{i}" for i in range(rounds)))
+    narrow = _narrow(n_classes)
 
     def grams(batch):
         for part in _parts(batch):
-            c, first = _classes(part)
+            c, first = _classes(part, narrow)
             a, b = history(c, first, end_class)
             at = c >= 0
             yield (a[at] * n_classes + b[at]) * n_classes + c[at]
 
-    counts = dense_sum(coded.where("learn").select("classes"), grams, n_classes**3).reshape((n_classes,) * 3)
+    def counted(coded: DataFrame) -> np.ndarray:
+        return dense_sum(coded.where("learn").select("classes"), grams, n_classes**3).reshape((n_classes,) * 3)
+
+    counts = counted(coded)
+    if before is not None and likelihood(counts.sum(0)) <= least:
+        coded, unseen, end_class = _coded(tmp, docs, asked, before, n_classes, parts, (total, distinct_n), discount, "coded-before")
+        counts = counted(coded)
+    tmp.drop("asked", "vocab", "classed", "classed-0", "classed-1")
     model = spark.sparkContext.broadcast(Transitions.of(counts, unseen) if total else None)
+    kind = docs.schema["id"].dataType.simpleString()
 
     def final(batches):
         t = model.value
@@ -344,152 +394,275 @@ def score(docs: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "te
                 if t is None:
                     value = part.column("base_score")
                 else:
-                    c, first = _classes(part)
+                    c, first = _classes(part, narrow)
                     a, b = history(c, first, end_class)
                     p = np.where(c >= 0, t.known[a, b, np.maximum(c, 0)], t.unknown[a, b])
                     value = pa.array(np.add.reduceat(p, first[:-1]) + part.column("emit").to_numpy())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in names[:4]), pa.array(np.full(part.num_rows, total, np.int64)), part.column("base_score"), value], [*names[:4], "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in NAMES[:4]), pa.array(np.full(part.num_rows, total, np.int64)), part.column("base_score"), value], [*NAMES[:4], "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(final, f"id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _exchanged(tmp: Scratch, learning: DataFrame, asked: DataFrame, classed: DataFrame, top: np.ndarray, k: int, n_words: int, rounds: int) -> DataFrame:
-    """h, c and class of every word of ``classed`` after exchange rounds over all of them, at their full counts.
+def _started(tmp: Scratch, learning: DataFrame, vocab: DataFrame, top: np.ndarray, classes: int, parts: int) -> tuple[int, Classed]:
+    """The number of classes of frequent words, and all words in classes: frequent ones by exchange, others by votes."""
+    spark, m = learning.sparkSession, len(top)
+    shared = spark.sparkContext.broadcast(top)
 
-    The frequent words ``top`` are a part of their own, so that none of them stands for others.
-    """
-    spark = learning.sparkSession
-    parts = max(1, -(-n_words // PART_WORDS))
-    head = spark.sparkContext.broadcast(top)
-
-    def contexts(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
-        """Of a block: the class bigrams (part -1), and by part of the vocabulary what stands beside each word."""
-        keys, own = right.column("h").to_numpy().view(X.U), right.column("class").to_numpy()
-        order = np.argsort(keys)
-        keys, own = keys[order], own[order].astype(np.int64)
-        code, count, grid = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(k * k, np.int64)
-        for block in X.blocks(left.combine_chunks().to_batches(), "text"):
+    def pairs(batch):
+        for block in X.blocks([batch], "text"):
+            h, first = tokens(block.column("text"))
+            w = lookup(shared.value, np.arange(m), h, m)
+            end = lookup(shared.value, np.arange(m), np.array([END]), m)[0]
+            before = np.concatenate([[end], w[:-1]])
+            before[first[:-1]] = end
+            yield before * (m + 1) + w
+
+    bigrams = dense_sum(learning, pairs, (m + 1) ** 2).reshape(m + 1, m + 1)
+    cls = exchange(bigrams, classes)
+    k = int(cls.max()) + 1
+    vote = spark.sparkContext.broadcast((cls, votes(bigrams, cls)))
+
+    def ballots(batches):
+        own, best = vote.value
+        every: list[np.ndarray] = [np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def emit():
+            word, chosen, count = every
+            part = (word % X.U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, *(x[order[a:b]] for x in (word, chosen, count))) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1].tobytes() for r in rows], pa.binary()), "class": pa.array([r[2].astype(np.uint16).tobytes() for r in rows], pa.binary()), "n": pa.array([_pack(r[3]) for r in rows], pa.binary())})
+
+        for block in X.blocks(batches, "text"):
             h, first = tokens(block.column("text"))
-            w = np.searchsorted(keys, h)
-            c = own[w]
+            c = lookup(shared.value, own, h, k)
+            left, right = np.concatenate([[k], c[:-1]]), np.concatenate([c[1:], [k]])
+            left[first[:-1]] = lookup(shared.value, own, np.array([END]), k)[0]
+            tail = np.flatnonzero(c == k)
+            more = (h[tail], best[left[tail], np.minimum(right[tail], k)], np.ones(len(tail), np.int64))
+            every = [np.concatenate(x) for x in zip(every, more, strict=True)]
+            if len(every[0]) > 1 << 21:
+                every = list(_fold(*every))
+                if len(every[0]) > 1 << 20:
+                    yield emit()
+                    every = [x[:0] for x in every]
+        if len(every[0]):
+            every = list(_fold(*every))
+            yield emit()
+
+    def cast(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = _row(left)
+        h = _array(row["h"])
+        cls = np.full(len(h), k, np.uint16)
+        if right.num_rows:
+            words = [_array(x) for x in right.column("h")]
+            chosen = np.concatenate([_array(x, np.uint16) for x in right.column("class")]).astype(np.int64)
+            word, chosen, n = _fold(np.concatenate(words), chosen, np.concatenate([_unpack(x, len(w)) for x, w in zip(right.column("n"), words, strict=True)]))
+            order = np.lexsort((chosen, -n, word))
+            new = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
+            cls[np.searchsorted(h, word[order][new])] += chosen[order][new].astype(np.uint16)
+        return pa.table({"part": left.column("part"), "h": left.column("h"), "c": left.column("c"), "class": pa.array([cls.tobytes()], pa.binary())})
+
+    given = learning.mapInArrow(ballots, "part int, h binary, class binary, n binary")
+    rows = tmp.cut(vocab.select("part", "h", "c").groupBy("part").cogroup(given.groupBy("part")).applyInArrow(cast, CLASSED), "classed")
+    tmp.drop("vocab")
+    shared.destroy()
+    vote.destroy()
+    return k, Classed(rows, top, cls)
+
+
+def _answers(asked: DataFrame, classed: Classed, counts: bool, unknown: int) -> DataFrame:
+    """To each block from each part, for its distinct words in order: their classes, and either counts or places in the part.
+
+    Places are given for the words that the block learns from alone, as steps from one to the next.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = _row(right)
+        h, c, cls = classed.of(row) if row else (np.zeros(0, X.U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out: list[list] = [[] for _ in range(5)]
+        for blk, part, words, learnt in zip(*(left.column(x) for x in ("blk", "part", "h", "c")), strict=True):
+            words = _array(words)
+            if not counts:
+                words = words[_unpack(learnt, len(words)) > 0]
+                if not len(words):
+                    continue
+            at = np.minimum(np.searchsorted(h, words), max(len(h) - 1, 0))
+            known = h[at] == words if len(h) else np.zeros(len(words), bool)
+            x = (np.where(known, c[at], 0) if len(h) else np.zeros(len(words), np.int64)) if counts else np.diff(at, prepend=0)
+            out[0].append(blk)
+            out[1].append(part)
+            out[2].append(len(words))
+            out[3].append(_pack(np.where(known, cls[at], unknown) if len(h) else np.full(len(words), unknown)))
+            out[4].append(_pack(x))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array([v.as_py() if isinstance(v, pa.Scalar) else v for v in x], t) for name, x, t in zip(("blk", "part", "many", "class", "x"), out, kinds, strict=True)})
+
+    return asked.groupBy("part").cogroup(classed.rows.groupBy("part")).applyInArrow(run, "blk long, part int, many int, class binary, x binary")
+
+
+def _beside(tmp: Scratch, learning: DataFrame, asked: DataFrame, classed: Classed, k: int, parts: int, name: str) -> tuple[DataFrame, np.ndarray]:
+    """How often each word stands before (slot below k) and after each class, by block and part, and the class bigrams.
+
+    The frequent words are a part of their own, the last, so that none of them stands for others.
+    """
+    top = classed.top
+
+    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows:
+            block = Block(left.combine_chunks().to_batches(), parts)
+            own, step = block.answer(right, "class", "x")
+            first = block.first
+            c = own[block.at]
+            end = own[np.flatnonzero(block.words == END)[0]]
             before = np.concatenate([[0], c[:-1]])
-            before[first[:-1]] = own[np.searchsorted(keys, END)]
-            grid += np.bincount(before * k + c, minlength=k * k)
-            if not words:
-                continue
+            before[first[:-1]] = end
             # The end of a text stands before the first word of each.
-            last = np.zeros(len(h), bool)
+            last = np.zeros(len(c), bool)
             last[first[1:] - 1] = True
             after = np.concatenate([c[1:], [0]])
             after[last] = c[first[:-1]]
-            code, count = _sum(np.concatenate([code, w * (2 * k) + after, w * (2 * k) + k + before]), np.concatenate([count, np.ones(2 * len(h), np.int64)]))
-        rows = [(-1, b"", b"", b"", b"", grid.tobytes())]
-        if len(code):
-            word, slot = code // (2 * k), code % (2 * k)
-            part = np.where(np.isin(keys, head.value), parts, (keys % X.U(parts)).astype(np.int64))[word]
-            for p in np.unique(part).tolist():
-                at = np.flatnonzero(part == p)
-                u, n = np.unique(word[at], return_counts=True)
-                rows.append((p, keys[u].tobytes(), own[u].astype(np.int16).tobytes(), n.astype(np.int16).tobytes(), slot[at].astype(np.int16).tobytes(), count[at].astype(np.int32).tobytes()))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32())} | {name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("h", "class", "many", "slot", "n"), 1)})
+            rows.append((-1, b"", b"", b"", np.bincount(before * k + c, minlength=k * k).astype(np.int64).tobytes(), 0))
+            code, count = _runs(np.sort(np.concatenate([block.at * (2 * k) + after, block.at * (2 * k) + k + before])))
+            word, slot = code // (2 * k), (code % (2 * k)).astype(np.int16)
+            frequent = lookup(top, np.arange(len(top)), block.words, -1)
+            apart = frequent[word] >= 0
+            for p, (a, b) in enumerate([*zip(block.edge[:-1], block.edge[1:], strict=True), (0, len(block.words))]):
+                at = slice(*np.searchsorted(word, [a, b])) if p < parts else slice(None)
+                mine = apart[at] == (p == parts)
+                u, n = _runs(word[at][mine])
+                if len(u):
+                    # Words are in order of their part and place.
+                    place = frequent[u] if p == parts else np.diff(np.cumsum(step[a:b])[u - a], prepend=0)
+                    rows.append((p, _pack(place), _pack(n), _pack(slot[at][mine]), _pack(count[at][mine]), len(u)))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(("part", "place", "many", "slot", "n", "words"), kinds, strict=True))})
 
     def grids(batches):
         total = np.zeros(k * k, np.int64)
         for batch in batches:
             for x in batch.column("n"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
+                total += _array(x, np.int64)
         yield pa.RecordBatch.from_pydict({"n": [total.tobytes()]})
 
-    def seen(classed: DataFrame, name: str, words: bool) -> tuple[DataFrame, np.ndarray]:
-        answer = asked.join(classed.select("h", "class"), "h").select("blk", "h", "class")
-        run = lambda left, right: contexts(left, right, words)
-        found = tmp.cut(learning.groupBy("blk").cogroup(answer.groupBy("blk")).applyInArrow(run, "part int, h binary, class binary, many binary, slot binary, n binary"), name)
-        tmp.sweep()
-        sums = found.where("part < 0").select("n").mapInArrow(grids, "n binary").collect()
-        return found, sum(np.frombuffer(r["n"], np.int64) for r in sums).reshape(k, k)
+    answers = _answers(asked, classed, False, 0)
+    found = learning.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(contexts, "part int, place binary, many binary, slot binary, n binary, words int")
+    found = tmp.cut(found, name)
+    tmp.sweep()
+    sums = found.where("part < 0").select("n").mapInArrow(grids, "n binary").collect()
+    return found.where("part >= 0"), sum(np.frombuffer(r["n"], np.int64) for r in sums).reshape(k, k)
+
 
-    def move(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, cls = np.zeros(0, X.U), np.zeros(0, np.int16)
+def _moved(tmp: Scratch, found: DataFrame, classed: Classed, grid: np.ndarray, parts: int, name: str) -> Classed:
+    """All words after one round of exchange by what ``found`` says of them."""
+    k = len(grid)
+    shared = found.sparkSession.sparkContext.broadcast(grid)
+
+    def move(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = _row(right)
+        p = (left if left.num_rows else right).column("part")[0].as_py()
+        if row:
+            h, c, own = classed.of(row)
+        else:
+            h, c, own = classed.top, np.zeros(0, np.int64), classed.own
         code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        for place, many, slot, n, words in zip(*(left.column(x) for x in ("place", "many", "slot", "n", "words")), strict=True):
+            at, many = _unpack(place, words.as_py()), _unpack(many, words.as_py())
+            at = np.repeat(at if p == parts else np.cumsum(at), many)
+            waiting.append((at * (2 * k) + _unpack(slot, len(at)), _unpack(n, len(at))))
+            size += len(at)
+            if size > 1 << 21:
+                code, count = _sum(*(np.concatenate(x) for x in zip((code, count), *waiting, strict=True)))
+                waiting, size = [], 0
+        code, count = _sum(*(np.concatenate(x) for x in zip((code, count), *waiting, strict=True)))
+        if len(code):
+            word = code // (2 * k)
+            used = np.unique(word)
+            first = np.searchsorted(word, np.append(used, used[-1] + 1))
+            own = own.copy()
+            own[used] = moves(shared.value, own[used], first, code % (2 * k), count, parts if p < parts else 1)
+        return pa.table({"part": pa.array([p], pa.int32()), "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "class": pa.array([own.astype(np.uint16).tobytes()], pa.binary())})
 
-        def fold() -> None:
-            nonlocal every, cls, code, count, size
-            new = np.unique(np.concatenate([every, *(h for h, *_ in waiting)]))
-            to = np.zeros(len(new), np.int16)
-            to[np.searchsorted(new, every)] = cls
-            codes, counts = [np.searchsorted(new, every)[code // (2 * k)] * (2 * k) + code % (2 * k)] if len(every) else [], [count]
-            for h, c, many, slot, n in waiting:
-                at = np.searchsorted(new, h)
-                to[at] = c
-                codes.append(np.repeat(at, many) * (2 * k) + slot)
-                counts.append(n)
-            code, count = _sum(np.concatenate(codes), np.concatenate(counts))
-            every, cls, size = new, to, 0
-            waiting.clear()
+    rows = tmp.cut(found.groupBy("part").cogroup(classed.rows.where(F.col("part") < parts).groupBy("part")).applyInArrow(move, CLASSED), name)
+    shared.destroy()
+    own = rows.where(F.col("part") == parts).select("class").first()
+    return Classed(rows.where(F.col("part") < parts), classed.top, np.frombuffer(own["class"], np.uint16).astype(np.int64) if own else classed.own)
 
-        for t in tables:
-            columns = [t.column(name) for name in ("h", "class", "many", "slot", "n")]
-            for row in zip(*columns, strict=True):
-                waiting.append(tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (X.U, np.int16, np.int16, np.int16, np.int32), strict=True)))
-                size += len(waiting[-1][3])
-                if size > 1 << 21:
-                    fold()
-        if waiting:
-            fold()
-        first = np.searchsorted(code // (2 * k), np.arange(len(every) + 1))
-        slot = code % (2 * k)
-        best = moves(shared.value, cls, first, slot, count, parts if key[0].as_py() < parts else 1)
-        c = np.add.reduceat(np.where(slot < k, count, 0), first[:-1])
-        yield pa.RecordBatch.from_pydict({"h": pa.array(X.signed(every)), "c": pa.array(c), "class": pa.array(best.astype(np.int32))})
-
-    before, least = classed, -np.inf
-    for turn in range(rounds + 1):
-        found, grid = seen(classed, f"beside-{turn}", turn < rounds)
-        value = likelihood(grid)
-        if turn == rounds or value <= least:
-            tmp.drop(f"beside-{turn}")
-            return classed if value > least else before
-        shared = spark.sparkContext.broadcast(grid)
-        before, least = classed, value
-        classed = tmp.cut(found.where("part >= 0").groupBy("part").applyInArrow(_typed(move), "h long, c long, class int"), f"classed-{turn}")
-        tmp.drop(f"beside-{turn}")
 
+NAMES = ["id", "learn", "n_tokens", "n_known", "base_score", "emit", "classes"]
 
-def _sum(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, sorted, and the sums of their counts."""
-    order = np.argsort(code, kind="stable")
-    code, count = code[order], count[order]
-    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))[: len(code)]
-    return code[new], np.add.reduceat(count, new) if len(new) else count
 
+def _coded(tmp: Scratch, docs: DataFrame, asked: DataFrame, classed: Classed, n_classes: int, parts: int, totals: tuple[int, int], discount: float, name: str) -> tuple[DataFrame, np.ndarray, int]:
+    """Documents as classes with their base and emission scores; each class's mass for the unknown type; the class of the end."""
+    spark = docs.sparkSession
 
-def _typed(f):
-    """applyInArrow takes batches one by one from a function of these annotations."""
-
-    def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(key, tables)
+    def masses(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, c, cls = classed.of({x: batch.column(x)[i] for x in ("h", "c", "class")})
+                end = np.flatnonzero(h == END)
+                yield pa.RecordBatch.from_pydict({"mass": [np.bincount(cls, c, n_classes).tobytes()], "kinds": [np.bincount(cls, minlength=n_classes).astype(float).tobytes()], "end": pa.array([int(cls[end[0]]) if len(end) else None], pa.int32())})
 
-    return run
+    def added(batches):
+        mass, kinds, end = np.zeros(n_classes), np.zeros(n_classes), None
+        for batch in batches:
+            for a, b, e in zip(*(batch.column(x) for x in ("mass", "kinds", "end")), strict=True):
+                mass, kinds, end = mass + _array(a, float), kinds + _array(b, float), e.as_py() if e.is_valid else end
+        yield pa.RecordBatch.from_pydict({"mass": [mass.tobytes()], "kinds": [kinds.tobytes()], "end": pa.array([end], pa.int32())})
+
+    spec = "mass binary, kinds binary, end int"
+    sums = classed.rows.mapInArrow(lambda batches: added(masses(batches)), spec).collect()
+    mass, kinds = (sum((np.frombuffer(r[x], float) for r in sums), np.zeros(n_classes)) for x in ("mass", "kinds"))
+    end_class = next((r["end"] for r in sums if r["end"] is not None), 0)
+    unseen = discount * kinds / np.maximum(mass, 1)
+    log_mass = np.log10(np.maximum(mass, 1))
+    narrow = _narrow(n_classes)
+    unknown = int(np.iinfo(narrow).max)
+    total, distinct_n = totals
+    kind = docs.schema["id"].dataType.simpleString()
 
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left.combine_chunks().to_batches(), parts)
+        own, count = block.answer(right, "class", "x")
+        first = block.first
+        cls, c = own[block.at], count[block.at]
+        add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every row has an end
+        emit = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9)) - log_mass[np.where(c > 0, cls, 0)], 0.0)
+        base = np.log10((c + 1) / (total + distinct_n + 1))
+        cls = cls.astype(narrow)
+        return pa.Table.from_arrays([left.column("id"), left.column("learn"), pa.array(np.diff(first)), pa.array(add((c > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(emit)), pa.array([cls[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], NAMES)
+
+    answers = _answers(asked, classed, True, unknown)
+    coded = docs.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(code, f"id {kind}, learn boolean, n_tokens long, n_known long, base_score double, emit double, classes binary")
+    coded = tmp.cut(coded, name)
+    tmp.sweep()
+    return coded, unseen, end_class
 
-def _empty(spec: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(spec))
+def _runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of sorted ones and how often each comes."""
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))[: len(code)]
+    return code[new], np.diff(np.append(new, len(code)))
 
 
-def _fold(word: np.ndarray, chosen: np.ndarray, count: np.ndarray):
-    order = np.lexsort((chosen, word))
-    word, chosen, count = word[order], chosen[order], count[order]
-    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (chosen[1:] != chosen[:-1])]))
-    return word[new], chosen[new], np.add.reduceat(count, new)
+def _sum(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their counts."""
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))[: len(code)]
+    return code[new], np.add.reduceat(count, new) if len(new) else count
 
 
-def _ballots(word, chosen, count) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"h": pa.array(X.signed(word)), "class": pa.array(chosen.astype(np.int32)), "n": pa.array(count)})
+def _fold(word: np.ndarray, chosen: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of word and class in order, and the sums of their counts."""
+    words, at = np.unique(word, return_inverse=True)
+    width = int(chosen.max()) + 1 if len(chosen) else 1
+    code, count = _sum(at * width + chosen, count)
+    return words[code // width], code % width, count
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 2000):
@@ -497,9 +670,17 @@ def _parts(batch: pa.RecordBatch, rows: int = 2000):
         yield batch.slice(at, rows)
 
 
-def _classes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    own = [np.frombuffer(x.as_buffer(), np.int16) for x in part.column("classes")]
-    return np.concatenate(own).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+def _narrow(n_classes: int) -> type:
+    """What holds a class of a token; the largest number stands for an unknown word."""
+    return np.uint8 if n_classes < 255 else np.uint16
+
+
+def _classes(part: pa.RecordBatch, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the tokens of rows, -1 for unknown words, and where rows begin."""
+    own = [_array(x, kind) for x in part.column("classes")]
+    flat = np.concatenate(own).astype(np.int64)
+    flat[flat == np.iinfo(kind).max] = -1
+    return flat, np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
 
 def op3_class_lm(spark, sf_dir: str) -> DataFrame:
