@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, each distinct piece of text encoded once a task.
+"""Token ids by the tokenizers library, each distinct piece of text encoded once a worker.
 
 A text is cut where every supported pre-tokenizer cuts it too: before a single
 space between visible characters, and where letters, digits and ASCII marks
@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -23,8 +22,8 @@ from . import text as X
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces kept during a task; beyond it the cache starts anew.
-CACHE = 500_000
+#: Distinct pieces kept by a worker; beyond it the cache starts anew, and it goes when a task of another kind begins.
+CACHE = 1_000_000
 
 _SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
 _CLASS = np.zeros(256, np.uint8)
@@ -212,12 +211,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-@contextmanager
-def encoding(path: str) -> Iterator[Encoder]:
-    """The encoder for one task; what it has kept goes with it, so that later stages have the memory."""
-    found = encoder(path)
-    try:
-        yield found
-    finally:
-        found._clear()
-        X.release()
+def encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Encoder, pa.RecordBatch]]:
+    """Blocks of a task's batches with the encoder, which keeps its pieces for the next task of this kind."""
+    for block in X.blocks(batches, "text", keep=True):
+        yield encoder(path), block
+
+
+X.caches.append(lambda: [e._clear() for e in _encoders.values() if e.known] and X.release())

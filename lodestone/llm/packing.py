@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import encoding, tokenizer_path
+from .encode import encoded, tokenizer_path
 from .scratch import Scratch
 
 #: Pieces a partition holds about.
@@ -80,9 +80,8 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        with encoding(path) as e:
-            for block in X.blocks(batches, "text"):
-                yield cut(block, *e.encode(block.column("text")))
+        for e, block in encoded(path, batches):
+            yield cut(block, *e.encode(block.column("text")))
 
     def cut(block: pa.RecordBatch, ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         row, piece, start, length, crc = [], [], [], [], []

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +94,15 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most ``size`` bytes of text, or one row."""
+#: What this worker keeps from task to task, to be forgotten when a task of another kind begins.
+caches: list[Callable[[], None]] = []
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most ``size`` bytes of text, or one row. ``keep`` leaves the worker's caches."""
+    if not keep and not isinstance(batches, list):  # a task
+        for forget in caches:
+            forget()
     for batch in batches:
         if not batch.num_rows:
             continue

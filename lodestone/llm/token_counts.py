@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import Encoder, cuts, encoding, tokenizer_path
+from .encode import Encoder, cuts, encoded, tokenizer_path
 
 #: Pieces of a leaf; a tree whose leaf outgrows this many times that is built anew.
 LEAF, GROWTH = 8, 16
@@ -194,9 +194,8 @@ def count_edited(docs: DataFrame, path: str, edits: str = "edits", *, id_col: st
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        with encoding(path) as enc:
-            for block in X.blocks(batches, "text"):
-                yield counted(enc, block)
+        for enc, block in encoded(path, batches):
+            yield counted(enc, block)
 
     def counted(enc: Encoder, block: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(6)]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
-from .encode import Encoder, encoding, tokenizer_path
+from .encode import Encoder, encoded, tokenizer_path
 from .scratch import shared_dir
 
 MAGIC = b"LSIDS01\n"
@@ -119,9 +119,8 @@ def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_
             yield np.append(flat[a:b], end).astype(np.uint32)
 
     def sample(batches):
-        with encoding(path) as e:
-            for block in X.blocks(batches, "text"):
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([x.astype(f"<u{width}").tobytes() for x in ids(e, block)], pa.binary())})
+        for e, block in encoded(path, batches):
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([x.astype(f"<u{width}").tobytes() for x in ids(e, block)], pa.binary())})
 
     found = docs.where(chance).limit(2 * SAMPLE).mapInArrow(sample, "ids binary").collect()
     dictionary = train(sorted(bytes(r[0]) for r in found))
@@ -132,9 +131,8 @@ def write(docs: DataFrame, path: str, out: str, *, id_col: str = "doc_id", text_
 
     def save(batches):
         codec, rows = Codec(dictionary, width), []
-        with encoding(path) as e:
-            for block in X.blocks(batches, "text"):
-                rows += zip(block.column("doc_id").to_pylist(), ((x.astype(f"<u{width}")) for x in ids(e, block)), strict=True)
+        for e, block in encoded(path, batches):
+            rows += zip(block.column("doc_id").to_pylist(), (x.astype(f"<u{width}") for x in ids(e, block)), strict=True)
         if not rows:
             return
         part = TaskContext.get().partitionId()
