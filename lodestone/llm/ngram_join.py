@@ -11,7 +11,8 @@ Lists are split by set size first, so that the length filter holds before any
 pair is made. A posting list isn't expanded into its pairs: each round compares
 some heads of a list with its other members, one in the first round, then of those that aren't of
 the list's largest component, a number that grows eightfold; a pair that
-shares the list before as well waits for that one. Links found join components, and only lists that still hold
+shares the list before as well waits for that one, and of a head's pairs with the
+members of one component the nearest is verified first, the others if it is no link. Links found join components, and only lists that still hold
 more than one component go on, without their heads, until none is left. Long
 lists that outlive two rounds hold texts that are unlike but for a common
 shingle. Similar sets share two shingles of prefixes longer by one, so such a
@@ -160,10 +161,14 @@ def _first():
     return F.coalesce(F.col("before") != F.col("h_before"), F.lit(True))
 
 
+def _apart():
+    """How many counts by part are odd in one set alone: each stands for a shingle that one has alone."""
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ODD), F.lit(0))
+
+
 def _even(percent: int):
-    """Suffix filter on rows with odd counts by part: each that differs stands for a shingle of one set alone."""
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ODD), F.lit(0))
-    return apart <= F.col("n") + F.col("h_n") - 2 * _alpha(F.col("n"), F.col("h_n"), percent)
+    """Suffix filter on rows with odd counts by part."""
+    return _apart() <= F.col("n") + F.col("h_n") - 2 * _alpha(F.col("n"), F.col("h_n"), percent)
 
 
 def _suffix(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -198,10 +203,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _contracted(labels: DataFrame | None, found: DataFrame, tmp: Scratch, turn: int) -> DataFrame:
+def _contracted(labels: DataFrame | None, found: DataFrame, tmp: Scratch, turn: str) -> DataFrame:
     """Labels (id, component_id) of all linked so far: the links just found join the components there are."""
     if labels is None:
-        return components(found, tmp, "cc-0")
+        return components(found, tmp, f"cc-{turn}")
     if found.isEmpty():
         return labels
     ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
@@ -231,6 +236,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     tmp = Scratch(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     freq = spark.sparkContext.broadcast(_frequencies(docs, k, bits))
+    tmp.sweep()
     wide = tmp.cut(_signatures(docs, freq, k, percent, bits), "wide")
     freq.destroy()
     sig = tmp.cut(wide.select("id", "n", "fp", "fp2"), "sig")
@@ -246,7 +252,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     post = folded.select("id", "n", F.posexplode("prefix").alias("at", "token")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     often = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    post = tmp.cut(post.join(often.select("token"), "token"), "often")
+    post = tmp.cut(post.join(often.select("token").hint("merge"), "token"), "often")
     tmp.sweep()
     # Similar sets differ in size by one step of a geometric scale at most: a list is one step and the next.
     step = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.0001)).cast("int") if percent < 100 else F.col("n").cast("int")
@@ -255,8 +261,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     live = tmp.cut(_alive(post), "live-0")
     tmp.drop("often")
 
-    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+    def verified(pairs: DataFrame, turn: str) -> DataFrame:
+        """Of pairs (id, h_id) the links (a, b)."""
+        pairs = pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
         pairs = tmp.cut(_suffix(pairs, folded, percent), f"pairs-{turn}")
+        if pairs.isEmpty():
+            return pairs
         wanted = tmp.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"wanted-{turn}")
         bits = spark.sparkContext.broadcast(sieve(wanted))
 
@@ -286,13 +296,22 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             head = live.where(chosen).select("token", *(F.col(c).alias(f"h_{c}") for c in ("id", "n", "at", "component_id", "before", *ODD)))
             rest = live.where(~chosen)
         pairs = live.join(head, "token").where("id <> h_id and component_id <> h_component_id").where(_near(percent) & _even(percent) & _first() if turn else _near(percent))
-        found = verified(pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), turn)
-        labels = _contracted(labels, found if turn else found.union(same_id), tmp, turn)
+        if turn == 0:
+            labels = _contracted(None, verified(pairs, "0").union(same_id), tmp, "0")
+        else:
+            # The nearest member of each component first: one link joins a head with all of them.
+            near = tmp.cut(pairs.select("id", "h_id", "component_id", "h_component_id", _apart().alias("apart")).distinct(), f"near-{turn}")
+            best = near.groupBy("h_id", "component_id", "h_component_id").agg(F.min_by("id", F.struct("apart", "id")).alias("id"))
+            labels = _contracted(labels, verified(best, f"{turn}a"), tmp, f"{turn}a")
+            own, other = (labels.select(F.col("id").alias(i), F.col("component_id").alias(c)) for i, c in (("id", "x"), ("h_id", "y")))
+            apart = near.select("id", "h_id").join(own, "id", "left").join(other, "h_id", "left").where(F.coalesce("x", "id") != F.coalesce("y", "h_id"))
+            apart = apart.join(best.select("id", "h_id"), ["id", "h_id"], "left_anti")
+            labels = _contracted(labels, verified(apart, f"{turn}b"), tmp, f"{turn}b")
         turn += 1
         rest = rest.drop("component_id", "largest", "others", "before").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         rest = _alive(rest).withColumn("before", F.lag("token").over(Window.partitionBy("id", "step").orderBy("at", "token")))
         live = tmp.cut(rest.join(folded.select("id", *ODD), "id") if turn == 1 else rest, f"live-{turn}")
-        tmp.drop(f"live-{turn - 1}", "head-0", "split", f"found-{turn - 1}")
+        tmp.drop(f"live-{turn - 1}", "head-0", "split", f"near-{turn - 1}", "found-0", f"found-{turn - 1}a", f"found-{turn - 1}b")
 
     # A chain of folded sets: the component of the representative, which is the smallest id of its copies.
     named = folded.select(F.col("id").alias("rep"), "fp", "fp2", "n_copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")

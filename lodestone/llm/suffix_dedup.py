@@ -121,9 +121,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     kept = docs.mapInArrow(keep, "id long, pos int, kh long")
     place = F.struct("id", "pos")
+    # What is sent or joined here grows with the corpus: the joins are the same at every size, none a broadcast.
     often = kept.groupBy("kh").agg(F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     often = tmp.cut(often.where("i0 <> i1 or p0 <> p1").select("kh"), "often")
-    cand = tmp.cut(kept.join(often, "kh", "left_semi").select("id", "pos"), "cand")
+    cand = tmp.cut(kept.join(often.hint("merge"), "kh", "left_semi").select("id", "pos"), "cand")
     tmp.drop("often")
     ids = tmp.cut(cand.select("id").distinct(), "ids")
     bits = spark.sparkContext.broadcast(sieve(ids))
@@ -133,7 +134,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy())))
 
     by_doc = cand.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    some = docs.mapInArrow(maybe, docs.schema).join(by_doc, "id")
+    some = docs.mapInArrow(maybe, docs.schema).join(by_doc.hint("merge"), "id")
 
     def carry(batches):
         for block in X.blocks(batches, "text"):
@@ -207,11 +208,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spot = F.struct("id", "s")
     seen = windows.groupBy("w").agg(F.min(spot).alias("w0"), F.max(spot).alias("w1")).where("w0 <> w1")
     bit = F.expr("shiftleft(1L, d)")
-    marks = windows.join(seen, "w").groupBy("print").agg(F.bit_or(bit).alias("again"), F.bit_or(F.when(F.col("w0") == spot, bit).otherwise(F.lit(0).cast("long"))).alias("head"))
+    marks = windows.join(seen.hint("merge"), "w").groupBy("print").agg(F.bit_or(bit).alias("again"), F.bit_or(F.when(F.col("w0") == spot, bit).otherwise(F.lit(0).cast("long"))).alias("head"))
     own = folded.select("print", F.struct("id", "pos").alias("first"), "copied")
     marks = tmp.cut(own.join(marks, "print", "left").where("copied or again is not null"), "marks")
     tmp.drop("windows")
-    full = rows.join(marks, "print")
+    full = rows.join(marks.hint("merge"), "print")
 
     def spans(batches):
         for batch in batches:
