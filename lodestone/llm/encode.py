@@ -22,7 +22,7 @@ from . import text as X
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces kept by a worker; beyond it the cache starts anew, and it goes when a task of another kind begins.
+#: Distinct pieces kept by a worker; beyond it the cache starts anew, and it goes with its encoder when a task of another kind begins.
 CACHE = 1_000_000
 
 _SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
@@ -217,4 +217,10 @@ def encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Enco
         yield encoder(path), block
 
 
-X.caches.append(lambda: [e._clear() for e in _encoders.values() if e.known] and X.release())
+def _forget() -> None:
+    if _encoders:
+        _encoders.clear()
+        X.release()
+
+
+X.caches.append(_forget)

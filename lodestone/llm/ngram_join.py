@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .sieve import sieve, sifted
 from .sums import dense_sum
 
@@ -59,6 +59,8 @@ ODD = [f"odd{i}" for i in range((1 << ODD_BITS) // 64)]
 HEADS, MORE = 16, 8
 #: Members beside the largest component beyond which a list is split by a second shingle after two rounds.
 SPLIT = 1 << 14
+#: Rows passed to a Python worker at once: a row is a text, or a pair with both its sets.
+BATCH = 1000
 
 
 def _sets(block: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -181,7 +183,8 @@ def _suffix(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
             n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
             alpha = -(-percent * n // (100 + percent))
             keep = np.minimum(d, 256 - d).sum(1, dtype=np.int64) <= n - 2 * alpha
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        X.release()
 
     x, y = (counts.select(F.col("id").alias(i), F.col("n").alias(n), F.col("parts").alias(s)) for i, n, s in (("a", "n", "x"), ("b", "m", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
@@ -197,7 +200,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        X.release()
 
     x, y = (sets.select(F.col("id").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -232,6 +236,12 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     its own without links) and n_copies (documents with an equal set, itself
     included; 0 for an empty set).
     """
+    with small_batches(docs.sparkSession, BATCH):
+        return _similar(docs, id_col, text_col, k, percent, bits, split)
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bits: int, split: int) -> DataFrame:
+    """``similar``, whose jobs with Python in them all run before it returns."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -271,10 +281,9 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         bits = spark.sparkContext.broadcast(sieve(wanted))
 
         def make(batches):
-            for batch in batches:
-                batch = batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy())))
-                for block in X.blocks([batch], "text"):
-                    yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([s.tobytes() for s in _sets(block, "text", k)], pa.binary())], ["id", "s"])
+            some = (batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy()))) for batch in batches)
+            for block in X.blocks(some, "text"):
+                yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([s.tobytes() for s in _sets(block, "text", k)], pa.binary())], ["id", "s"])
 
         sets = docs.where("id is not null").mapInArrow(make, "id long, s binary").join(wanted, "id", "left_semi")
         found = tmp.cut(_verify(pairs, tmp.cut(sets, f"sets-{turn}"), percent), f"found-{turn}")

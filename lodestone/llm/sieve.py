@@ -25,8 +25,10 @@ def sieve(ids: DataFrame) -> np.ndarray:
         for batch in batches:
             bits[_slot(batch.column("id").to_numpy())] = True
         part = np.packbits(bits).reshape(64, -1)
+        del bits
         at = np.flatnonzero(part.any(1))
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "bits": pa.array([part[i].tobytes() for i in at], pa.binary())})
+        X.release()
 
     def join(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << SIEVE_BITS) // 512, np.uint8)

@@ -89,6 +89,7 @@ def fresh(columns: Iterable[str], name: str) -> str:
 
 def release() -> None:
     """Give freed memory of this worker back to the system: workers live on from task to task and stage to stage."""
+    _powers[:] = [np.ones(1, U), np.ones(1, U)]
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -103,8 +103,11 @@ def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int =
     inner[first[:-1][first[:-1] < len(tags)]] = False
     pair = np.flatnonzero(inner)
     gold = np.bincount(tags[pair - 1] * 2 + tags[pair], minlength=4).reshape(2, 2)
-    used = np.unique(f)
-    place = np.searchsorted(used, f).astype(np.int32)
+    held = np.zeros(1 << BITS, bool)
+    held[f] = True
+    used = np.flatnonzero(held)
+    place = (np.cumsum(held, dtype=np.int32) - 1)[f]
+    del f, held
     w = np.zeros(len(used))
     state = [np.zeros(len(used) + 6) for _ in range(2)]
     heads = first[:-1][np.diff(first) > 0]
@@ -114,8 +117,14 @@ def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int =
         p = fwd * back / (1 + fwd * back)
         a, x = np.exp(field.trans), e[pair] * back[pair]
         r = fwd[pair - 1]
-        joint = np.stack([np.full(len(pair), a[0, 0]), a[0, 1] * x, a[1, 0] * r, a[1, 1] * r * x])
-        joint = (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        del e, fwd, back
+        parts = (np.full(len(pair), a[0, 0]), a[0, 1] * x, a[1, 0] * r, a[1, 1] * r * x)
+        del x, r
+        total = parts[0] + parts[1]
+        total += parts[2]
+        total += parts[3]
+        joint = np.array([np.divide(y, total, out=y).sum() for y in parts]).reshape(2, 2)
+        del parts, total
         miss = tags - p
         grad = sum(np.bincount(row, miss, len(used)) for row in place) - l2 * w
         grad = np.concatenate([grad, [miss.sum(), miss[heads].sum()], (gold - joint).ravel() - l2 * field.trans.ravel()])
@@ -206,7 +215,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 2) ->
     test = ~learn if (~learn).any() else learn
     base = labels[test].mean()
     weight = np.where(labels[test] == 1, share / max(base, 1e-9), (1 - share) / max(1 - base, 1e-9))
-    return Model(field, _logistic(_summary(p, first)[test], labels[test], weight), share)
+    model = Model(field, _logistic(_summary(p, first)[test], labels[test], weight), share)
+    del f, doc, tags, keep, p, at, pairs, row, block
+    X.release()
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import class_lm, components, decontaminate, embedding_dedup, fm_index, html_extract, ngram_join, packing, suffix_dedup, token_counts, token_output, toxicity
+from lodestone.llm import class_lm, components, decontaminate, embedding_dedup, encode, fm_index, html_extract, ngram_join, packing, suffix_dedup, token_counts, token_output, toxicity
 from lodestone.llm import text as X
 from lodestone.llm.encode import Encoder, tokenizer_path
 from lodestone.llm.scratch import Scratch
@@ -92,6 +93,17 @@ def test_blocks_cover_every_row():
     assert got == batch.column("text").to_pylist()
 
 
+def test_workers_keep_nothing_of_another_kind_of_task():
+    path = tokenizer_path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"text": ["some words here"]})
+    for e, block in encode.encoded(path, iter([batch])):
+        e.encode(block.column("text"))
+    assert encode._encoders
+    for block in X.blocks(iter([batch]), "text"):
+        X.Words(block.column("text")).hashes()
+    assert not encode._encoders and len(X._powers[0]) == 1
+
+
 # Components
 
 
@@ -110,6 +122,18 @@ def test_components(spark, shape):
 # 1
 
 
+def test_training_holds_few_copies_of_the_features():
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 1 << toxicity.BITS, (6, 100_000)).astype(np.int32)
+    tags = (rng.random(100_000) < 0.1).astype(np.int64)
+    tracemalloc.start()
+    toxicity.train_field(f, np.arange(0, 100_001, 50), tags, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = 8 << toxicity.BITS  # the weights, whatever the number of words
+    assert peak - 4 * table < 7 * f.nbytes
+
+
 def test_field_matches_enumeration():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(1), 0.0, 0.3, rng.normal(size=(2, 2)))
@@ -467,6 +491,14 @@ def test_suffix_dedup(spark, docs, empty):
 # 7
 
 
+def test_ngram_join_passes_few_rows_at_once(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, cut = spark.conf.get(name), Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, at: seen.append(int(spark.conf.get(name))) or cut(self, df, at))
+    ngram_join.similar(docs, k=3, percent=90)
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_ngram_join(spark, docs, empty, k, percent):
     sets = []
