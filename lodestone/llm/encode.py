@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +93,7 @@ class Encoder:
         A unit is a byte or, where tokens mark the end of a word, a word.
         """
         sep = " " if self.end else "\n"
-        ids = np.array(self.tokenizer.encode(sep.join(pieces), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([sep.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         if not len(ids) or int(ids.max()) >= len(self.width):
             return None
         done = np.cumsum(self.width[ids])
@@ -144,17 +144,20 @@ class Encoder:
             return np.zeros(0, np.int64)
         ends = np.append(at, len(data)).astype(np.int32)
         col = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        names = col.dictionary.to_pylist()
+        names = col.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) + len(names) > CACHE:
             self._clear()
-        at = np.flatnonzero(np.fromiter((p not in self.known for p in names), bool, len(names)))
+        place = np.fromiter(map(self.known.get, names.tolist(), repeat(-1)), np.int64, len(names))
+        at = np.flatnonzero(place < 0)
         if len(at):
             units = self._units(col.dictionary.take(pa.array(at)))
             for plain in (True, False):
                 some = at[(units > 0) == plain]
                 for i in range(0, len(some), 20_000):
-                    self._add([names[k] for k in some[i : i + 20_000]], units[units > 0][i : i + 20_000] if plain else None)
-        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[col.indices.to_numpy()]
+                    new = some[i : i + 20_000]
+                    place[new] = len(self.known) + np.arange(len(new))
+                    self._add(names[new].tolist(), units[units > 0][i : i + 20_000] if plain else None)
+        return place[col.indices.to_numpy()]
 
     def _units(self, pieces: pa.Array) -> np.ndarray:
         """Units of each plain piece: a run of one known class, a space before it at most; 0 for any other."""

@@ -619,6 +619,30 @@ def test_encoder_is_the_library(name):
         assert ids[first[i] : first[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_looks_a_piece_up_once():
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *args):
+            self.looks += 1
+            return super().get(*args)
+
+        def __contains__(self, key):
+            self.looks += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.looks += 1
+            return super().__getitem__(key)
+
+    enc = Encoder(tokenizer_path("word_bpe_49k.json"))
+    enc.known = Counted()
+    for looks in (3, 6):  # three distinct pieces, unknown and then known
+        ids, _ = enc.encode(pa.array(["ab cd cd 12"]))
+        assert ids.tolist() == enc.tokenizer.encode("ab cd cd 12", add_special_tokens=False).ids
+        assert enc.known.looks == looks
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     path = tokenizer_path("word_bpe_49k.json")
     enc = Encoder(path).tokenizer
