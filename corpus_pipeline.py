@@ -18,15 +18,12 @@ from lodestone.llm.encode import tokenizer_path
 from lodestone.llm.scratch import Scratch
 from lodestone.llm.text import fresh
 
-#: Documents of this score or more are rejected. Operator 1 calls them toxic from 0.3 on; README has the figures of both.
-TOXIC = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents scored as toxic go."""
+    """Operator 1: documents that it calls toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = fresh(docs.columns, "toxicity")
-    return toxicity.score(docs, model, spans=False, name=name).where(F.col(name) < TOXIC).select(docs.columns)
+    return toxicity.score(docs, model, spans=False, name=name).where(F.col(name) < toxicity.TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

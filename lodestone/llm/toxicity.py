@@ -6,12 +6,13 @@ Only documents are labelled, so tokens are labelled from them: in a toxic
 document, words with a feature that toxic documents hold far more often than
 others; elsewhere none. The field is trained on these tags, tags the toxic
 documents again, and is trained on its own tags. Forward-backward marginals
-give offending spans, and a logistic model of their largest and their sum,
-fitted on documents the field wasn't trained on, gives the document's score.
+give offending spans, and a logistic model of what they hold beyond the
+marginal of a word the field knows nothing of, fitted on documents it wasn't
+trained on, gives the document's score: unknown words don't add up in long texts.
 
 The fit uses a bounded sample of the labelled documents: of each label the
 first by a hash of their ids, at most ``sample`` documents and ``sample_bytes``
-of text. Scoring reads every whole text and nothing but the text.
+of text, on one executor. Scoring reads every whole text and nothing but the text.
 
 Nulls: a null text is an empty one; an empty text gets the score of a text
 without toxic words. Rows with a null id are scored and never learnt from.
@@ -22,6 +23,7 @@ give empty results. Very long texts are scored whole.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,8 @@ BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
 #: Words of a training sequence: longer texts are trained on as several, and scored as one.
 SEQUENCE = 256
 SAMPLE, SAMPLE_BYTES = 2000, 4 << 20
+#: Documents of this score or more are called toxic.
+TOXIC = 0.3
 
 
 def features(words: X.Words) -> np.ndarray:
@@ -95,6 +99,15 @@ class Field:
         x = fwd * back
         return x / (1 + x)
 
+    def unknown(self) -> float:
+        """The marginal of a word without known features among others of the kind."""
+        return float(self.marginals(np.full(65, self.bias), np.array([0, 65]))[32])
+
+    def beyond(self, p: np.ndarray) -> np.ndarray:
+        """Of marginals what they exceed that of an unknown word by, from 0 to 1."""
+        least = self.unknown()
+        return np.maximum(p - least, 0) / max(1 - least, 1e-12)
+
 
 def train_field(f: np.ndarray, first: np.ndarray, tags: np.ndarray, steps: int = 30, l2: float = 0.02) -> Field:
     """Maximum conditional likelihood by Adam over all documents at once."""
@@ -152,7 +165,7 @@ class Model:
         if self.field is None:
             return np.full(n, self.prior), np.zeros(len(words.start))
         p = self.field.marginals(self.field.emissions(features(words)), words.first)
-        return 1 / (1 + np.exp(-(_summary(p, words.first) @ self.logit))), p
+        return 1 / (1 + np.exp(-(_summary(self.field.beyond(p), words.first) @ self.logit))), p
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -215,7 +228,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 2) ->
     test = ~learn if (~learn).any() else learn
     base = labels[test].mean()
     weight = np.where(labels[test] == 1, share / max(base, 1e-9), (1 - share) / max(1 - base, 1e-9))
-    model = Model(field, _logistic(_summary(p, first)[test], labels[test], weight), share)
+    model = Model(field, _logistic(_summary(field.beyond(p), first)[test], labels[test], weight), share)
     del f, doc, tags, keep, p, at, pairs, row, block
     X.release()
     return model
@@ -241,10 +254,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             take.add(r["i"])
     if not take:
         return Model(None, np.zeros(4), count.get(1, 0) / sum(count.values()))
-    pick = F.broadcast(spark.createDataFrame([(i,) for i in take], "i long"))
-    texts = {r["i"]: r["t"] for r in rows.join(pick, "i", "left_semi").groupBy("i").agg(F.max("t").alias("t")).collect()}
-    ids = sorted(texts)
-    return fit([texts[i] for i in ids], np.array([chosen[i][1] for i in ids]), count.get(1, 0) / sum(count.values()))
+    pick = F.broadcast(spark.createDataFrame([(i, chosen[i][1]) for i in take], "i long, y int"))
+    share = count.get(1, 0) / sum(count.values())
+
+    def learn(batches):
+        found = sorted((i, t, y) for batch in batches for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("i", "t", "y")), strict=True))
+        model = fit([t for _, t, _ in found], np.array([y for _, _, y in found]), share)
+        del found
+        X.release()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # The sample is bounded, so one task fits it, and the driver holds the weights alone.
+    texts = rows.join(pick, "i").groupBy("i", "y").agg(F.max("t").alias("t")).coalesce(1)
+    return pickle.loads(texts.mapInArrow(learn, "model binary").collect()[0]["model"])
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, name: str = "score") -> DataFrame:
@@ -293,4 +315,4 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     model = train(docs, labels.where(part_of("doc_id", 4) != 2))
     held = F.coalesce(part_of("doc_id", 4) == 2, F.lit(False))
     found = score(docs, model, spans=True)
-    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.size("toxic_spans").cast("long").alias("n_toxic_words"), "toxic_spans")
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"), F.size("toxic_spans").cast("long").alias("n_toxic_words"), "toxic_spans")

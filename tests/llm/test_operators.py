@@ -739,6 +739,25 @@ def test_pipeline(spark, tmp_path):
     assert {r for r in seen["packing"]} == set(seen["benchmark"])
 
 
+def test_pipeline_rejects_what_the_operator_calls_toxic(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for score, kept in ((0.29, 1), (0.3, 0), (0.4, 0)):
+        monkeypatch.setattr(toxicity, "train", lambda *a, score=score: toxicity.Model(None, np.zeros(4), score))
+        assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == kept
+
+
+def test_toxicity_of_long_texts_without_known_words():
+    rows = toxic_rows(3, 200)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), 0.25)
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000))
+    score, _ = model.score(X.Words(pa.array([long, long + " vexor zurtic", ""], pa.large_string()), X.ALNUM))
+    assert score[0] < 0.3 and score[2] < 0.3
+
+
 def test_pipeline_without_rows(spark, tmp_path, empty):
     import corpus_pipeline
 
