@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from lodestone.llm.encode import tokenizer_path
 from lodestone.llm.scratch import Scratch
+from lodestone.llm.sieve import parted
 from lodestone.llm.text import fresh
 
 
@@ -30,7 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Operator 7: of documents whose five-word shingles are similar by 0.8 or more, the first id stays."""
     found = ngram_join.similar(docs, k=5, percent=80)
     others = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    others = Scratch(spark, "others").cut(others, "ids")
+    some, rest = parted(docs, others.select(F.col("doc_id").alias("id")), "doc_id")
+    kept = some.join(others, "doc_id", "left_anti").select(docs.columns).union(rest)
     again = found.groupBy("id").agg(F.count("*").alias("n")).where("id is not null and n > 1").select(F.col("id").alias("doc_id"))
     if again.isEmpty():
         return kept

@@ -11,7 +11,7 @@ Lists are split by set size first, so that the length filter holds before any
 pair is made. A posting list isn't expanded into its pairs: each round compares
 some heads of a list with its other members, one in the first round, then of those that aren't of
 the list's largest component, a number that grows eightfold; a pair that
-shares the list before as well waits for that one, and of a head's pairs with the
+shares one of the few lists before as well waits for that one, and of a head's pairs with the
 members of one component the nearest is verified first, the others if it is no link. Links found join components, and only lists that still hold
 more than one component go on, without their heads, until none is left. Long
 lists that outlive two rounds hold texts that are unlike but for a common
@@ -20,11 +20,12 @@ list is split by every other shingle of these.
 Every pair of a posting list is thus either compared, already known to be
 connected, or in a list of two shingles, so the components are those of all links.
 
-What passes the length and positional filters meets the suffix filter: counts
-of the sets by the top bits of their shingles, whose distance bounds the
-difference of the sets from below; after the first round, whether finer counts
-are odd is looked at in the join itself. Only then are whole sets made, of the
-documents in such pairs alone, and each pair is verified once.
+What passes the length and positional filters meets the suffix filter: whether
+counts of the sets by bits of their shingles are odd. Each count that is odd in
+one set alone bounds the difference of the sets from below. A set has two counts
+or more a shingle, so the bound is near the difference at any length; after the
+first round a few counts are looked at in the join itself. Only then are whole
+sets made, of the documents in such pairs alone, and each pair is verified once.
 
 Nulls: a null text is an empty one; a null id is left out of the join and has
 no component of its own (null). Empty sets link with nothing. Rows of one id
@@ -52,13 +53,15 @@ from .sums import dense_sum
 
 #: Buckets of the tables of word and shingle frequencies, 2 bytes each: their size is fixed whatever the input.
 BUCKET_BITS = 22
-#: Counts of a set by the top bits of its shingles, 8 bits each, and whether finer counts are odd: the suffix filter's partitions.
-PART_BITS, ODD_BITS = 7, 8
+#: Whether counts of a set by the top bits of its shingles are odd, as the join itself looks at them.
+ODD_BITS = 8
 ODD = [f"odd{i}" for i in range((1 << ODD_BITS) // 64)]
 #: Heads of a list in the second round, and how many times more in each after it.
 HEADS, MORE = 16, 8
 #: Members beside the largest component beyond which a list is split by a second shingle after two rounds.
 SPLIT = 1 << 14
+#: Live lists before the one at hand that a pair may share.
+BEFORE = 4
 #: Rows passed to a Python worker at once: a row is a text, or a pair with both its sets.
 BATCH = 1000
 
@@ -110,13 +113,35 @@ def least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Whether a set's counts by the low bits of its shingles are odd, in two bits a shingle or more, a power of two of them."""
+    size = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & X.U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differ(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """The least by which the sets of two sketches differ, row by row: the larger sketch is folded to the size of the other."""
+    (data, first), (other, second) = X.raw(x), X.raw(y)
+    size = np.stack([np.diff(first), np.diff(second)], 1)
+    out = np.zeros(len(size), np.int64)
+    for own in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == own).all(1))
+        u, v = (d[at[:-1][rows][:, None] + np.arange(n)] for d, at, n in ((data, first, own[0]), (other, second, own[1])))
+        while u.shape[1] != v.shape[1]:
+            u, v = (u, v) if u.shape[1] > v.shape[1] else (v, u)
+            half = u.shape[1] // 2
+            u = u[:, :half] ^ u[:, half:]
+        out[rows] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
+    return out
+
+
 def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataFrame:
-    """Of each row the set's size, two hashes, counts by part, odd counts, and the prefix with one shingle more, rarest first."""
+    """Of each row the set's size, two hashes, a sketch, odd counts, and the prefix with one shingle more, rarest first."""
 
     def run(batches):
         rank = freq.value
         for block in X.blocks(batches, "text"):
-            rows: dict[str, list] = {"n": [], "fp": [], "fp2": [], "parts": [], "prefix": []}
+            rows: dict[str, list] = {"n": [], "fp": [], "fp2": [], "sketch": [], "prefix": []}
             odd = []
             for s, f in _ranked(block, "text", k, rank, bits):
                 n = len(s)
@@ -129,14 +154,14 @@ def _signatures(docs: DataFrame, freq, k: int, percent: int, bits: int) -> DataF
                 rows["n"].append(n)
                 rows["fp"].append(int(X.signed(np.bitwise_xor.reduce(X.mix(s), keepdims=True))[0]) if n else None)
                 rows["fp2"].append(int(X.signed(np.add.reduce(X.mix(s ^ X.U(0x5BD1E995)), keepdims=True))[0]) if n else None)
-                rows["parts"].append(np.bincount((s >> X.U(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS).astype(np.uint8).tobytes() if n else None)
+                rows["sketch"].append(_sketch(s) if n else None)
                 rows["prefix"].append(X.signed(s[order]))
                 odd.append(np.packbits(np.bincount((s >> X.U(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS).astype(np.uint8) & 1).view(np.int64))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             odds = [pa.array(np.ascontiguousarray(c)) for c in np.array(odd, np.int64).reshape(-1, len(ODD)).T]
             yield pa.RecordBatch.from_arrays([block.column("id").cast(pa.int64()), *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)), *odds], ["id", *rows, *ODD])
 
-    return docs.mapInArrow(run, "id long, n long, fp long, fp2 long, parts binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    return docs.mapInArrow(run, "id long, n long, fp long, fp2 long, sketch binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
 
 
 def _alpha(n, m, percent: int):
@@ -155,12 +180,12 @@ def _near(percent: int):
 
 
 def _first():
-    """That a pair doesn't share the live list before this one as well, in which it is compared.
+    """That a pair shares none of the few live lists before this one as well, in which it is compared.
 
     Of a pair's live lists the first one always passes, so it is compared there, at the latest when one of both
-    is a head of it. Copies share most of their lists in long runs and are compared once a run.
+    is a head of it. Copies share most of their lists in long runs, with gaps where they differ, and are compared once a run.
     """
-    return F.coalesce(F.col("before") != F.col("h_before"), F.lit(True))
+    return F.coalesce(~F.arrays_overlap("before", "h_before"), F.lit(True))
 
 
 def _apart():
@@ -173,23 +198,35 @@ def _even(percent: int):
     return _apart() <= F.col("n") + F.col("h_n") - 2 * _alpha(F.col("n"), F.col("h_n"), percent)
 
 
-def _suffix(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose counts by part differ by no more than similar sets can."""
+def _suffix(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ by no more than similar sets can."""
 
     def run(batches):
         for batch in batches:
-            x, y = (X.raw(batch.column(c))[0].reshape(-1, 1 << PART_BITS).astype(np.int16) for c in ("x", "y"))
-            d = np.abs(x - y)
             n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
             alpha = -(-percent * n // (100 + percent))
-            keep = np.minimum(d, 256 - d).sum(1, dtype=np.int64) <= n - 2 * alpha
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(_differ(batch.column("x"), batch.column("y")) <= n - 2 * alpha))
         X.release()
 
-    x, y = (counts.select(F.col("id").alias(i), F.col("n").alias(n), F.col("parts").alias(s)) for i, n, s in (("a", "n", "x"), ("b", "m", "y")))
+    x, y = (sketches.select(F.col("id").alias(i), F.col("n").alias(n), F.col("sketch").alias(s)) for i, n, s in (("a", "n", "x"), ("b", "m", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids of pairs (a, b), as often as they occur."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+
+def _sifted(rows: DataFrame, bits) -> DataFrame:
+    """The rows whose id passes a sieve that was broadcast."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(sifted(bits.value, batch.column("id").to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, each computed once."""
 
@@ -251,7 +288,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     freq.destroy()
     sig = tmp.cut(wide.select("id", "n", "fp", "fp2"), "sig")
     keyed = wide.where("id is not null and n > 0")
-    folded = keyed.groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("n_copies"), F.min_by(F.struct("parts", "prefix", *ODD), "id").alias("x"))
+    folded = keyed.groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("n_copies"), F.min_by(F.struct("sketch", "prefix", *ODD), "id").alias("x"))
     folded = tmp.cut(folded.select("id", "n", "fp", "fp2", "n_copies", "x.*"), "folded")
     tmp.drop("wide")
 
@@ -268,16 +305,24 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     step = F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.0001)).cast("int") if percent < 100 else F.col("n").cast("int")
     post = post.select("id", "n", "at", F.col("token").alias("shingle"), F.explode(F.array(step, step - 1)).alias("step"))
     post = post.withColumn("token", F.xxhash64("shingle", "step")).withColumn("component_id", F.col("id"))
-    live = tmp.cut(_alive(post), "live-0")
+    # At first every member is a component of its own.
+    shared = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    live = tmp.cut(post.join(shared, "token"), "live-0")
     tmp.drop("often")
 
     def verified(pairs: DataFrame, turn: str) -> DataFrame:
         """Of pairs (id, h_id) the links (a, b)."""
-        pairs = pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct()
-        pairs = tmp.cut(_suffix(pairs, folded, percent), f"pairs-{turn}")
+        pairs = tmp.cut(pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), f"some-{turn}")
+        if pairs.isEmpty():
+            return pairs
+        bits = spark.sparkContext.broadcast(sieve(_ends(pairs)))
+        sketches = _sifted(folded.select("id", "n", "sketch"), bits)
+        pairs = tmp.cut(_suffix(pairs, sketches, percent), f"pairs-{turn}")
+        bits.destroy()
+        tmp.drop(f"some-{turn}")
         if pairs.isEmpty():
             return pairs
-        wanted = tmp.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"wanted-{turn}")
+        wanted = tmp.cut(_ends(pairs).distinct(), f"wanted-{turn}")
         bits = spark.sparkContext.broadcast(sieve(wanted))
 
         def make(batches):
@@ -298,7 +343,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         if turn == 0:
             first = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n", "at", "component_id")).alias("h"))
             head = tmp.cut(first.select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "n", "at", "component_id"))), "head-0")
-            rest = live.join(head.select("token", F.col("h_id").alias("id")), ["token", "id"], "left_anti")
+            rest = live.join(head.select("token", "h_id"), "token").where("id <> h_id").drop("h_id")
         else:
             # All but the members of the largest component, as soon as they are few: then nothing of the list is left.
             chosen = (F.col("component_id") != F.col("largest")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 31)) * F.col("others") < F.lit(HEADS * MORE ** (turn - 1) << 31))
@@ -318,7 +363,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
             labels = _contracted(labels, verified(apart, f"{turn}b"), tmp, f"{turn}b")
         turn += 1
         rest = rest.drop("component_id", "largest", "others", "before").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        rest = _alive(rest).withColumn("before", F.lag("token").over(Window.partitionBy("id", "step").orderBy("at", "token")))
+        rest = _alive(rest)
+        row = Window.partitionBy("id", "step").orderBy("at", "token")
+        rest = rest.withColumn("before", F.array(*(F.lag("token", i).over(row) for i in range(1, BEFORE + 1))))
         live = tmp.cut(rest.join(folded.select("id", *ODD), "id") if turn == 1 else rest, f"live-{turn}")
         tmp.drop(f"live-{turn - 1}", "head-0", "split", f"near-{turn - 1}", "found-0", f"found-{turn - 1}a", f"found-{turn - 1}b")
 
@@ -333,7 +380,7 @@ def _split(live: DataFrame, folded: DataFrame, split: int) -> DataFrame:
     """Lists with more than ``split`` members beside the largest component, as lists of two shingles: similar sets share a second one in prefixes longer by one."""
     many = live.where(F.col("others") > split).drop("largest", "others")
     many = many.join(folded.select("id", F.explode("prefix").alias("second")), "id").where("second <> shingle")
-    many = _alive(many.withColumn("token", F.xxhash64("token", "second")).withColumn("before", F.lit(None).cast("long")).drop("second"))
+    many = _alive(many.withColumn("token", F.xxhash64("token", "second")).withColumn("before", F.lit(None).cast("array<long>")).drop("second"))
     return live.where(F.col("others") <= split).unionByName(many)
 
 

@@ -47,3 +47,19 @@ def sifted(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each id passes."""
     slot = _slot(ids)
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def parted(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose id may be among ``ids`` (id long), to be joined with them, and the others, which never move. Null ids are others."""
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(ids.where("id is not null")))
+
+    def half(inside: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                at = batch.column(id_col).cast(pa.int64())
+                found = sifted(bits.value, at.fill_null(0).to_numpy()) & at.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == inside))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return half(True), half(False)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .scratch import Scratch
-from .sieve import sieve, sifted
+from .sieve import parted, sieve, sifted
 
 LEAST, GRAM = 50, 26
 _STEP = X.U(0xD6E8FEB86659FD93)
@@ -315,7 +315,9 @@ def remove(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFr
                 keep[r] = bool(new[r])
             yield X.replaced(block, new).filter(pa.array(keep))
 
-    return docs.join(cuts, "doc_id", "left").select(*(F.col(f"`{c}`") for c in columns), name).mapInArrow(run, docs.schema)
+    # Texts move only of the documents with cuts and of the few others that pass the sieve.
+    some, others = parted(docs, cuts.select(F.col("doc_id").alias("id")), "doc_id")
+    return some.join(cuts, "doc_id", "left").select(*(F.col(f"`{c}`") for c in columns), name).mapInArrow(run, docs.schema).union(others)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import class_lm, components, decontaminate, embedding_dedup, encode, fm_index, html_extract, ngram_join, packing, suffix_dedup, token_counts, token_output, toxicity
+from lodestone.llm import class_lm, components, decontaminate, embedding_dedup, encode, fm_index, html_extract, ngram_join, packing, sieve, suffix_dedup, token_counts, token_output, toxicity
 from lodestone.llm import text as X
 from lodestone.llm.encode import Encoder, tokenizer_path
 from lodestone.llm.scratch import Scratch
@@ -739,6 +739,39 @@ def test_pipeline(spark, tmp_path):
     assert {r for r in seen["packing"]} == set(seen["benchmark"])
 
 
+def test_ngram_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * X.U(2)
+    pairs = [(own := draw(n), np.concatenate([own[: n - gone], draw(more)])) for n, gone, more in ((1, 0, 0), (3, 1, 1), (40, 4, 3), (400, 100, 20), (2700, 300, 900), (9000, 0, 1), (9000, 9000, 9000))]
+    x, y = (pa.array([ngram_join._sketch(np.unique(p[i])) for p in pairs], pa.binary()) for i in (0, 1))
+    found = ngram_join._differ(x, y)
+    truth = [len(np.setxor1d(a, b)) for a, b in pairs]
+    assert all(f <= t and (t - f) % 2 == 0 for f, t in zip(found, truth, strict=True))
+    assert found[-2] == 1 and list(ngram_join._differ(y, x)) == list(found)
+    # Long sets that share nothing pass no filter, as they did where a set had 128 counts whatever its size.
+    assert found[-1] > 18000 - 2 * (80 * 18000 / 180)
+
+
+def test_parted_by_a_sieve(spark):
+    rows = spark.createDataFrame([(i, "t") for i in range(-50, 50)] + [(None, "t")], "doc_id long, text string")
+    inside, outside = (sorted(((r.doc_id is None, r.doc_id) for r in d.collect()), key=str) for d in sieve.parted(rows, spark.createDataFrame([(-7,), (3,), (None,)], "id long"), "doc_id"))
+    assert {(False, -7), (False, 3)} <= set(inside) and (True, None) in outside
+    assert len(inside) + len(outside) == 101 and len(inside) < 10
+
+
+def test_texts_without_cuts_do_not_move(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    found = spark.createDataFrame([(3, [], [(0, 1)])], f"id long, repeated {suffix_dedup.SPANS}, removable {suffix_dedup.SPANS}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup.remove(docs, found)
+        assert {r.doc_id: r.text for r in out.collect()} == {i: f"text {i}" if i != 3 else "3" for i in range(50)}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Union" in plan
+
+
 def test_pipeline_rejects_what_the_operator_calls_toxic(spark, monkeypatch, tmp_path):
     import corpus_pipeline
 
