@@ -50,19 +50,29 @@ def numbered(rows: DataFrame, *order: str, base: int = 0, name: str = "lsn") ->
     Rows are dealt to ranges of about equal size and sorted there; each is its
     range's count before it plus its place. Ranges come from a sample of the
     rows, so neither many keys nor a long common prefix of them matter; rows
-    equal in all of ``order`` share a range.
+    equal in all of ``order`` share a range. The ranges' first rows and counts
+    are found once and kept: a plan that dealt the rows again for its counts
+    would sample them again, and find other ranges.
     """
     from pyspark.sql import Window
 
-    own, part, n = "__place", "__range", "__before"
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The ids are consecutive within a partition and hold its number in their upper bits.
-    dealt = dealt.withColumn(own, F.monotonically_increasing_id())
-    dealt = dealt.withColumn(part, F.shiftright(own, 33)).withColumn(own, F.col(own).bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = dealt.groupBy(part).agg(F.count("*").alias(n))
+    spark, part, at, starts = rows.sparkSession, "__range", "__before", "__starts"
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order)
+    dealt = rows.select(key.alias("low")).repartitionByRange(ranges, "low")
+    found = dealt.groupBy(F.spark_partition_id().alias(part)).agg(F.min("low").alias("low"), F.count("*").alias("n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
-    return dealt.join(F.broadcast(offsets), part).withColumn(name, F.col(own) + F.col(n) + F.lit(base + 1).cast("long")).drop(own, part, n)
+    found = found.select("low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    found = found.agg(F.array_sort(F.collect_list(F.struct("low", "before"))).alias(starts))
+    found = spark.createDataFrame(found.toArrow(), found.schema)
+
+    # A binary search: how many ranges start at or before the row.
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(ranges.bit_length()))))
+    own = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(starts, n + step - 1)["low"] <= key, step).otherwise(F.lit(0)))
+    placed = rows.crossJoin(F.broadcast(found)).withColumn(part, own)
+    placed = placed.withColumn(at, F.coalesce(F.get(starts, F.col(part) - 1)["before"], F.lit(0))).drop(starts)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return placed.withColumn(name, place + F.col(at) + F.lit(base).cast("long")).drop(at, part)
 
 
 class MutationLog(CommitLog):

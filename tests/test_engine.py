@@ -180,6 +180,19 @@ def test_numbers_of_any_keys(spark):
     assert [r.key for r in sorted(got, key=lambda r: r.lsn)] == sorted(keys)
 
 
+def test_every_row_of_a_large_append_is_numbered_once(spark, engine, tmp_path):
+    rows = spark.range(0, 60_000, 1, 6).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.repeat(F.lit("v"), 50).alias("value"))
+    assert engine.bulk_put("u", rows) == 60_000
+    log_rows = engine.log("u").read().select("key", "lsn")
+    assert log_rows.agg(F.count("*"), F.count_distinct("lsn"), F.min("lsn"), F.max("lsn")).first() == (60_000, 60_000, 1, 60_000)
+    first = [r.key for r in log_rows.orderBy("lsn").limit(500).collect()]
+    assert first == [r.key for r in rows.orderBy("key").limit(500).collect()]
+    assert engine.size("u") == 60_000 and len(list(engine.cursor("u", "0", "1"))) == rows.where("key < '1'").count()
+    engine.snapshot("u", f"file://{tmp_path}/snapshots")
+    assert engine.gql("DELETE FROM u WHERE key >= ''").rows_affected == 60_000 and engine.size("u") == 0
+    assert engine.restore("u", f"file://{tmp_path}/snapshots") == 60_000 and engine.size("u") == 60_000
+
+
 def test_bulk_rows_are_checked(spark, engine):
     for row in (("", "x"), ("k" * 2000, "x"), ("k", "v" * 20000), (None, "x")):
         with pytest.raises(InvalidArgument):
