@@ -6,11 +6,13 @@ import math
 import threading
 import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..errors import PermissionDenied, ResourceExhausted
 from .sequence import with_previous
@@ -34,47 +36,71 @@ def admit(requests: DataFrame, tenant: str, ts: str, order: str, rate: float, bu
     Refill is capped, so the state after a request depends on those before it.
     A full bucket forgets its past: a gap of burst / rate seconds starts a new
     run, and runs are worked apart. They are found inside spans of time, so a
-    tenant of many requests is sorted in many tasks; one run is one task's.
+    tenant of many requests is sorted in many tasks; one run is one task's, and
+    a task works its runs one after the other.
     """
-    runs = with_previous(requests, tenant, ts, order, math.ceil(burst / rate * 1e6))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", order])
-        tokens, last, ok, left = burst, None, [], []
-        costs = pdf[cost] if cost else [1.0] * len(pdf)
-        for t, c in zip(pdf["__us"], costs, strict=True):
-            if last is not None:
+
+    def start() -> Callable[[int | None, float | None, bool], tuple[bool, float]]:
+        tokens, last = burst, None
+
+        def step(t: int | None, c: float | None, opens: bool) -> tuple[bool, float]:
+            nonlocal tokens, last
+            if opens or t is None or last is None:
+                tokens = burst
+            else:
                 tokens = min(burst, tokens + (t - last) / 1e6 * rate)
             last = t
-            ok.append(bool(tokens >= c))
-            tokens -= c if ok[-1] else 0
-            left.append(tokens)
-        return pdf[requests_columns].assign(admitted=ok, tokens=left)
-
-    requests_columns = requests.columns
-    return runs.drop("__prev").groupBy(tenant, "__run").applyInPandas(run, f"{_fields(requests)}, admitted boolean, tokens double")
+            ok = c is not None and tokens >= c
+            if ok:
+                tokens -= c
+            return ok, tokens
 
+        return step
 
-def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return _by_runs(requests, tenant, ts, order, math.ceil(burst / rate * 1e6), cost, start, "admitted boolean, tokens double")
 
 
 def request_quota(requests: DataFrame, tenant: str, ts: str, order: str, per_second: int) -> DataFrame:
     """Requests with ``admitted``: a one-second window opens with the first request after the last one ended."""
-    runs = with_previous(requests, tenant, ts, order, 1_000_000)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", order])
-        start, n, ok = None, 0, []
-        for t in pdf["__us"]:
-            if start is None or t - start >= 1_000_000:
-                start, n = t, 0
-            ok.append(n < per_second)
-            n += ok[-1]
-        return pdf[requests_columns].assign(admitted=ok)
-
-    requests_columns = requests.columns
-    return runs.drop("__prev").groupBy(tenant, "__run").applyInPandas(run, f"{_fields(requests)}, admitted boolean")
+
+    def start() -> Callable[[int | None, float | None, bool], tuple[bool]]:
+        opened, n = None, 0
+
+        def step(t: int | None, c: float | None, opens: bool) -> tuple[bool]:
+            nonlocal opened, n
+            if opens or opened is not None and t is not None and t - opened >= 1_000_000:
+                opened, n = t, 0
+            ok = n < per_second
+            n += ok
+            return (ok,)
+
+        return step
+
+    return _by_runs(requests, tenant, ts, order, 1_000_000, None, start, "admitted boolean")
+
+
+def _by_runs(requests: DataFrame, tenant: str, ts: str, order: str, gap_us: int, cost: str | None, start: Callable[[], Callable], new: str) -> DataFrame:
+    """Requests with what ``step`` says of (time, cost, whether a run begins), called in order through every run.
+
+    There are about as many runs as requests where these are rare, so a run is
+    no group of its own: tasks take sorted rows in batches, whatever a run holds.
+    """
+    columns = requests.columns
+    runs = with_previous(requests, tenant, ts, order, gap_us)
+    at = Window.partitionBy(tenant, "__run").orderBy("__us", order)
+    runs = runs.withColumn("__opens", F.row_number().over(at) == 1).withColumn("__cost", F.col(cost).cast("double") if cost else F.lit(1.0))
+    kinds = StructType.fromDDL(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("__us", "__cost", "__opens")), strict=True)
+            found = zip(*(step(*r) for r in rows), strict=True) if batch.num_rows else ([] for _ in kinds)
+            made = [pa.array(x, to_arrow_type(k.dataType)) for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + made, columns + kinds.names)
+
+    # The window leaves the rows of a partition in order, one run after the other.
+    return runs.select(*(F.col(f"`{c}`") for c in columns), "__us", "__cost", "__opens").mapInArrow(run, StructType(requests.schema.fields + kinds.fields))
 
 
 def latency_histogram(calls: DataFrame, name: str, duration: str, bounds: tuple[float, ...]) -> DataFrame:

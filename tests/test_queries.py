@@ -76,3 +76,28 @@ def test_every_event_asks_for_its_segment(spark):
     for r in rows:
         assert r.lsn == r.event_id * 13 % (max(events) + 2001)
         assert r.segment_id == max(((at, s) for s, at in starts.items() if at <= r.lsn), default=(0, None))[1]
+
+
+@pytest.mark.parametrize("name", ["token_bucket", "request_quota"])
+def test_a_run_is_no_group_of_its_own(spark, capsys, name):
+    QUERIES[name](spark, DATA).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_runs_that_share_a_task(spark):
+    from lodestone.operators.governance import admit, request_quota
+
+    # Tenants of rare requests and one of many, and one without a name; a request of unknown cost isn't admitted.
+    made = [(u, i, i * 40_000_000 + u, 1.0) for u in range(60) for i in range(40)] + [(99, i, i * 100_000, 1.0) for i in range(3000)] + [(None, i, i * 300_000, None if i == 1 else 1.0) for i in range(4)]
+    rows = spark.createDataFrame(made, "u long, i int, us long, c double").selectExpr("u", "i", "timestamp_micros(us) as ts", "c", "us").repartition(7)
+    state, wanted = {}, {}
+    for u, i, us, c in made:
+        tokens, last = state.get(u, (3.0, us))
+        tokens = min(3.0, tokens + (us - last) / 1e6 * 0.5)
+        ok = c is not None and tokens >= c
+        state[u] = (tokens - ok, us)
+        wanted[u, i] = (ok, round(tokens - ok, 6))
+    assert {(r.u, r.i): (r.admitted, round(r.tokens, 6)) for r in admit(rows, "u", "ts", "i", 0.5, 3.0, "c").collect()} == wanted
+    found = {(r.u, r.i): r.admitted for r in request_quota(rows, "u", "ts", "i", 2).collect()}
+    assert found == {(u, i): u != 99 and (u is not None or i < 2) or u == 99 and i % 10 < 2 for u, i, _, _ in made}
