@@ -22,10 +22,19 @@ def _stem(term: Column) -> Column:
     return out.otherwise(term)
 
 
+def words_of(text: Column) -> Column:
+    """Array of the words of a text in its order, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def stemmed(words: Column) -> Column:
+    """Their terms: one suffix stripped, stop words and empty terms dropped after that."""
+    return F.filter(F.transform(words, _stem), lambda t: ~t.isin(*STOP_WORDS) & (t != ""))
+
+
 def terms(text: Column) -> Column:
     """Array of terms in text order: lower case, one suffix stripped, stop words and empty terms dropped after that."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(words, _stem), lambda t: ~t.isin(*STOP_WORDS) & (t != ""))
+    return stemmed(words_of(text))
 
 
 def contains_text(text: Column, query: str) -> Column:

@@ -193,6 +193,24 @@ def test_every_row_of_a_large_append_is_numbered_once(spark, engine, tmp_path):
     assert engine.restore("u", f"file://{tmp_path}/snapshots") == 60_000 and engine.size("u") == 60_000
 
 
+def test_compaction_takes_the_postings_there_are(spark, tmp_path, monkeypatch):
+    from lodestone.sources.indexes import TextIndex
+
+    index = TextIndex(spark, f"file://{tmp_path}/t")
+    index.put(spark.createDataFrame([("a", "Red foxes are running, red"), ("b", "blue fox"), ("c", "green")], "key string, value string"))
+    index.put(spark.createDataFrame([("b", "yellow birds")], "key string, value string"))
+    index.remove(spark.createDataFrame([("c",)], "key string"))
+    before = sorted(rows(index.postings().select("term", "doc_key")))
+    assert before == [("bird", "b"), ("foxe", "a"), ("r", "a"), ("runn", "a"), ("yellow", "b")]
+
+    def again(*_):
+        raise AssertionError("the texts were cut into terms again")
+
+    monkeypatch.setattr(TextIndex, "_write_postings", again)
+    index.compact()
+    assert sorted(rows(index.postings().select("term", "doc_key"))) == before
+
+
 def test_bulk_rows_are_checked(spark, engine):
     for row in (("", "x"), ("k" * 2000, "x"), ("k", "v" * 20000), (None, "x")):
         with pytest.raises(InvalidArgument):
